@@ -271,14 +271,14 @@ def leg_rollup(legs: DataFrame, keys: list[str]) -> DataFrame:
 
 @query(
     "A7",
-    f"""SELECT user_id, round(avg(a), 7) AS lat, round(avg(b), 7) AS lon FROM (SELECT DISTINCT user_id, round(lat * 1e3) / 1e3 AS a, round(lon * 1e3) / 1e3 AS b FROM ({M.POINTS}) p) d GROUP BY user_id""",
+    f"""SELECT user_id, round(avg(a), 10) AS lat, round(avg(b), 10) AS lon FROM (SELECT DISTINCT user_id, round(lat * 1e3) / 1e3 AS a, round(lon * 1e3) / 1e3 AS b FROM ({M.POINTS}) p) d GROUP BY user_id""",
 )
 def a7(t: Tables) -> DataFrame:
     points = t.sql(M.POINTS).select(
         "user_id", (F.round(c("lat") * 1e3) / 1e3).alias("lat"), (F.round(c("lon") * 1e3) / 1e3).alias("lon")
     )
     return centroid(points, ["user_id"], "lat", "lon").select(
-        "user_id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon")
+        "user_id", F.round("lat", 10).alias("lat"), F.round("lon", 10).alias("lon")
     )
 
 

@@ -1 +1,183 @@
+"""Spatial-join queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pathloom.functions import rules
+from pathloom.functions.geo import round_even
+from pathloom.functions.solar import solar_position
+from pathloom.operators import spatial as S
+from pathloom.operators.components import cluster_signals
+from pathloom.plans import mapping as M
+from pathloom.plans.registry import Tables, query
+from pathloom.plans.scalar import grid_sql
+from pathloom.plans.selection import centroid
+
+c = F.col
+
+_MODE_NODES = f"""SELECT DISTINCT m.mode, n.node_id, n.lat, n.lon FROM ({M.NODES}) n CROSS JOIN (VALUES ('walk', 1), ('car', 3)) AS m(mode, step)
+  WHERE n.node_id % m.step = 0"""
+_MODE_POINTS = f"SELECT point_id, lat, lon, CASE WHEN point_id % 2 = 0 THEN 'walk' ELSE 'car' END AS mode FROM ({M.POINTS}) p"
+
+
+@query(
+    "J1",
+    f"""SELECT point_id, node_id, round(d, 3) AS distance_m FROM (SELECT p.point_id, n.node_id, {M.haversine('p.lat', 'p.lon', 'n.lat', 'n.lon')} AS d,
+          row_number() OVER (PARTITION BY p.point_id ORDER BY round({M.haversine('p.lat', 'p.lon', 'n.lat', 'n.lon')}, 6), n.node_id) AS rn
+        FROM ({_MODE_POINTS}) p JOIN ({_MODE_NODES}) n ON n.mode = p.mode) x WHERE rn = 1""",
+)
+def j1(t: Tables) -> DataFrame:
+    found = S.nearest(t.sql(_MODE_POINTS), t.sql(_MODE_NODES), "point_id", "node_id", by=["mode"])
+    return found.select("point_id", "node_id", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query(
+    "J2",
+    f"""SELECT p.point_id, coalesce(x.place_id, -1) AS place_id, round(x.d, 3) AS distance_m FROM ({M.POINTS}) p LEFT JOIN (
+          SELECT * FROM (SELECT p.point_id, n.place_id, {M.haversine('p.lat', 'p.lon', 'n.lat', 'n.lon')} AS d,
+            row_number() OVER (PARTITION BY p.point_id ORDER BY round({M.haversine('p.lat', 'p.lon', 'n.lat', 'n.lon')}, 6), n.place_id) AS rn
+          FROM ({M.POINTS}) p JOIN ({M.PLACES}) n ON n.lat BETWEEN p.lat - 0.02 AND p.lat + 0.02 AND n.lon BETWEEN p.lon - 0.03 AND p.lon + 0.03) y WHERE rn = 1 AND d <= 2000) x
+        ON x.point_id = p.point_id""",
+)
+def j2(t: Tables) -> DataFrame:
+    return reverse_geocode(t.sql(M.POINTS), t.sql(M.PLACES)).select(
+        "point_id", F.coalesce("place_id", F.lit(-1)).alias("place_id"), F.round("distance_m", 3).alias("distance_m")
+    )
+
+
+def reverse_geocode(points: DataFrame, places: DataFrame, within_m: float = S.K.REVERSE_RADIUS_M) -> DataFrame:
+    """Nearest place of each point, null beyond the radius."""
+    return S.nearest(points, places, "point_id", "place_id", within_m=within_m, levels=S.levels_for(within_m))
+
+
+_FOOTPRINTS = f"""SELECT osm_id, lat0 - half_deg AS min_lat, lon0 - half_deg AS min_lon, lat0 + half_deg AS max_lat, lon0 + half_deg AS max_lon, height_tag, levels_tag FROM ({M.BUILDINGS}) b"""
+
+
+def buildings(t: Tables) -> DataFrame:
+    height, confidence = rules.building_height(c("height_tag"), c("levels_tag"))
+
+    def corner(lon: str, lat: str):
+        return F.struct(c(lon).alias("lon"), c(lat).alias("lat"))
+
+    ring = F.array(
+        corner("min_lon", "min_lat"), corner("max_lon", "min_lat"), corner("max_lon", "max_lat"),
+        corner("min_lon", "max_lat"), corner("min_lon", "min_lat"),
+    )
+    return t.sql(_FOOTPRINTS).select(
+        "osm_id", "min_lat", "min_lon", "max_lat", "max_lon", height.alias("height_m"), confidence.alias("confidence"), ring.alias("ring")
+    )
+
+
+@query(
+    "J3",
+    f"""SELECT r.trip_id, count(*) AS buildings, CAST(sum(b.osm_id) AS BIGINT) AS id_sum FROM (
+          SELECT trip_id, min(lat) - 0.001::DOUBLE AS south, min(lon) - 0.001::DOUBLE AS west, max(lat) + 0.001::DOUBLE AS north, max(lon) + 0.001::DOUBLE AS east FROM ({M.ROUTE_VERTICES}) v GROUP BY trip_id) r
+        JOIN ({_FOOTPRINTS}) b ON b.max_lon >= r.west AND b.min_lon <= r.east AND b.max_lat >= r.south AND b.min_lat <= r.north GROUP BY r.trip_id""",
+)
+def j3(t: Tables) -> DataFrame:
+    boxes = S.route_boxes(t.sql(M.ROUTE_VERTICES), ["trip_id"])
+    features = t.sql(_FOOTPRINTS).select(
+        "osm_id", c("min_lat").alias("r_south"), c("min_lon").alias("r_west"), c("max_lat").alias("r_north"), c("max_lon").alias("r_east")
+    )
+    return S.box_pairs(boxes, features, 0.005).groupBy("trip_id").agg(
+        F.count("*").alias("buildings"), F.sum("osm_id").alias("id_sum")
+    )
+
+
+def _dist(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
+    t = f"greatest(0.0, least(1.0, (({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / (pow({bx} - {ax}, 2) + pow({by} - {ay}, 2))))"
+    return f"sqrt(pow({px} - ({ax} + {t} * ({bx} - {ax})), 2) + pow({py} - ({ay} + {t} * ({by} - {ay})), 2))"
+
+
+_SEGMENTS_SQL = f"""SELECT trip_id, idx, lat, lon, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2
+  FROM ({grid_sql(f'({M.ROUTE_VERTICES}) v', 'trip_id, idx, lat, lon')}) g WINDOW w AS (PARTITION BY trip_id ORDER BY idx)"""
+_CORNERS_SQL = f"""SELECT osm_id, k, lat, lon, min_lat, min_lon FROM ({_FOOTPRINTS}) b CROSS JOIN LATERAL (VALUES (0, min_lat, min_lon), (1, min_lat, max_lon), (2, max_lat, max_lon), (3, max_lat, min_lon), (4, min_lat, min_lon)) AS q(k, lat, lon)"""
+_WALLS_SQL = f"""SELECT osm_id, k, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS by_, min_lat, min_lon
+  FROM ({grid_sql(f'({_CORNERS_SQL}) q', 'osm_id, k, min_lat, min_lon')}) g WINDOW w AS (PARTITION BY osm_id ORDER BY k)"""
+
+
+@query(
+    "J4",
+    f"""WITH s AS (SELECT DISTINCT x1, y1, x2, y2, lat, lon FROM ({_SEGMENTS_SQL}) a WHERE x2 IS NOT NULL), w AS (SELECT * FROM ({_WALLS_SQL}) b WHERE bx IS NOT NULL),
+        h AS (SELECT DISTINCT s.lat, s.lon, w.osm_id FROM s JOIN w ON w.min_lat BETWEEN s.lat - 0.005 AND s.lat + 0.005 AND w.min_lon BETWEEN s.lon - 0.005 AND s.lon + 0.005
+              WHERE least({_dist('ax', 'ay', 'x1', 'y1', 'x2', 'y2')}, {_dist('x1', 'y1', 'ax', 'ay', 'bx', 'by_')}, {_dist('x2', 'y2', 'ax', 'ay', 'bx', 'by_')}) <= 260)
+        SELECT trip_id, count(DISTINCT osm_id) AS buildings, CAST(sum(DISTINCT osm_id) AS BIGINT) AS id_sum FROM ({M.ROUTE_VERTICES}) v JOIN h ON h.lat = v.lat AND h.lon = v.lon WHERE v.idx < 19 GROUP BY trip_id""",
+)
+def j4(t: Tables) -> DataFrame:
+    hits = S.buildings_in_corridor(t.sql(M.ROUTE_VERTICES), buildings(t), "trip_id")
+    return hits.groupBy("trip_id").agg(F.count("*").alias("buildings"), F.sum("osm_id").alias("id_sum"))
+
+
+@query(
+    "J5",
+    f"""WITH s AS (SELECT * FROM ({_SEGMENTS_SQL}) a WHERE x2 IS NOT NULL), g AS ({grid_sql(f'({M.SIGNALS}) q', 'osm_id')})
+        SELECT t.trip_id, count(DISTINCT h.osm_id) AS signals FROM (SELECT DISTINCT trip_id FROM s) t LEFT JOIN (
+          SELECT s.trip_id, g.osm_id FROM s JOIN g ON {_dist('g.x', 'g.y', 's.x1', 's.y1', 's.x2', 's.y2')} <= 18) h ON h.trip_id = t.trip_id GROUP BY t.trip_id""",
+)
+def j5(t: Tables) -> DataFrame:
+    return S.signals_near_routes(t.sql(M.ROUTE_VERTICES), t.sql(M.SIGNALS), "trip_id")
+
+
+def shade_of_routes(t: Tables) -> tuple[DataFrame, DataFrame]:
+    vertices = t.sql(M.ROUTE_VERTICES)
+    samples = S.route_samples(S.route_segments(vertices, ["trip_id"]), ["trip_id"])
+    # departures between 05:00 and 14:00 UTC of one winter day: night, low and high sun
+    departure = F.lit(1704067200 + 5 * 3600) + (c("trip_id") % 4) * 10800
+    azimuth, elevation = solar_position(departure.cast("double"), c("lat"), c("lon"))
+    sun = vertices.filter(c("idx") == 0).select("trip_id", azimuth.alias("azimuth"), elevation.alias("elevation"))
+    return S.shade_samples(samples, sun, buildings(t), "trip_id"), sun
+
+
+@query("J6")
+def j6(t: Tables) -> DataFrame:
+    samples, _ = shade_of_routes(t)
+    segments = S.segment_shade(samples, ["trip_id"])
+    return S.route_shade(segments, ["trip_id"]).select(
+        "trip_id", F.round("shade_fraction", 6).alias("shade_fraction"), F.round("high_fraction", 6).alias("high_fraction")
+    )
+
+
+_SAMPLES = """SELECT l_orderkey AS route_id, CAST(l_linenumber AS BIGINT) AS segment, CAST(l_linenumber * 10 AS DOUBLE) AS distance_m, l_partkey % 3 <> 0 AS shaded, l_partkey % 3 = 1 AS high FROM lineitem"""
+
+
+@query(
+    "A3",
+    f"""WITH s AS (SELECT route_id, segment, max(distance_m) AS d, avg(CAST(shaded AS DOUBLE)) AS f, avg(CAST(high AS DOUBLE)) AS h FROM ({_SAMPLES}) q GROUP BY 1, 2)
+        SELECT route_id, round(sum(d * f) / sum(d), 6) AS shade_fraction, round(sum(d * h) / sum(d), 6) AS high_fraction,
+               round(sum(d) / 1.35 * (1 - sum(d * f) / sum(d)) / 60, 6) AS sun_minutes FROM s GROUP BY route_id""",
+)
+def a3(t: Tables) -> DataFrame:
+    segments = S.segment_shade(t.sql(_SAMPLES), ["route_id"])
+    shade = S.route_shade(segments, ["route_id"])
+    durations = segments.groupBy("route_id").agg((F.sum("distance_m") / 1.35).alias("duration_s"))
+    return shade.join(durations, "route_id").select(
+        "route_id", F.round("shade_fraction", 6).alias("shade_fraction"), F.round("high_fraction", 6).alias("high_fraction"),
+        F.round(sun_minutes(c("duration_s"), c("shade_fraction")), 6).alias("sun_minutes"),
+    )
+
+
+def sun_minutes(duration_s, fraction):
+    return duration_s * (1 - fraction) / 60
+
+
+_CROWD = f"SELECT osm_id, lat0 AS lat, lon0 AS lon FROM ({M.BUILDINGS}) b"
+
+
+@query(
+    "G13",
+    f"""WITH RECURSIVE g AS (SELECT osm_id, round(x, 3) AS x, round(y, 3) AS y FROM ({grid_sql(f'({_CROWD}) q', 'osm_id')}) z),
+        e AS (SELECT a.osm_id AS a, b.osm_id AS b FROM g a JOIN g b ON b.x BETWEEN a.x - 25 AND a.x + 25 AND b.y BETWEEN a.y - 25 AND a.y + 25 AND a.osm_id <> b.osm_id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 625),
+        r(id, label) AS (SELECT osm_id, osm_id FROM g UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.id WHERE r.label < e.b),
+        m AS (SELECT id, min(label) AS cluster FROM r GROUP BY id)
+        SELECT cluster, count(*) AS members, CAST(sum(id) AS BIGINT) AS id_sum FROM m GROUP BY cluster""",
+)
+def g13(t: Tables) -> DataFrame:
+    members = cluster_signals(t.sql(_CROWD))
+    return members.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("osm_id").alias("id_sum"))
+
+
+def cluster_centroids(members: DataFrame) -> DataFrame:
+    """Centroid of each signal cluster over its distinct spots."""
+    return centroid(members, ["cluster"], "x", "y").select("cluster", round_even(c("x"), 3).alias("x"), round_even(c("y"), 3).alias("y"))
