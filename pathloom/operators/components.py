@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pathloom import constants as K
 from pathloom.functions.geo import to_grid
 from pathloom.operators.cells import cell
-from pathloom.session import ensure_checkpoint_dir
+from pathloom.operators.rounds import RoundState
 
 c = F.col
 
@@ -16,24 +16,36 @@ c = F.col
 def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, component) with the smallest member id as component, from undirected links (a, b).
 
-    Each round takes the least label among the neighbours and then jumps to the label of that label, so the number of
-    rounds grows with the logarithm of a component's diameter. Every round ends in a reliable checkpoint.
+    Every node points at a parent, itself at first. In a round each node and its parent are hooked under the least
+    grandparent among the node's neighbours, and pointers are shortened to grandparents, so whole trees are merged at
+    once and few rounds are needed even for long chains. Rounds are written to the shared checkpoint folder.
     """
-    ensure_checkpoint_dir(nodes.sparkSession)
-    both = links.select("a", "b").union(links.select(c("b").alias("a"), c("a").alias("b"))).distinct().checkpoint()
-    labels = nodes.select("id", c("id").alias("component"))
+    state = RoundState(nodes.sparkSession, "components")
+    both = links.select("a", "b").union(links.select(c("b").alias("a"), c("a").alias("b"))).distinct()
+    both = state.keep(both, "links")
+    labels = state.save(nodes.select("id", c("id").alias("parent"), c("id").alias("grand"), F.lit(True).alias("moved")))
     for _ in range(max_rounds):
-        around = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("_near"))
-        hooked = labels.join(around, labels["id"] == around["a"], "left").select(
-            "id", c("component").alias("_old"), F.least("component", F.coalesce("_near", "component")).alias("component")
+        around = both.join(labels.select(c("id").alias("b"), "grand"), "b").groupBy("a").agg(F.min("grand").alias("_near"))
+        seen = labels.join(around, labels["id"] == around["a"], "left")
+        hooks = seen.select(
+            F.explode(
+                F.array(
+                    F.struct(c("id"), F.least("grand", "_near").alias("parent"), c("parent").alias("_old")),
+                    F.struct(c("parent").alias("id"), F.least("grand", "_near").alias("parent"), F.lit(None).cast(labels.schema["id"].dataType).alias("_old")),
+                )
+            ).alias("_h")
         )
-        roots = hooked.select(c("id").alias("_root"), c("component").alias("_jump"))
-        jumped = hooked.join(roots, c("component") == c("_root")).select(
-            "id", "_old", F.least("component", "_jump").alias("component")
-        ).checkpoint()
-        labels = jumped.select("id", "component")
-        if jumped.filter(c("_old") != c("component")).isEmpty():
-            return labels
+        parents = hooks.groupBy(c("_h.id").alias("id")).agg(
+            F.min("_h.parent").alias("parent"), F.max("_h._old").alias("_old")
+        )
+        above = parents.select(c("id").alias("parent"), c("parent").alias("grand"))
+        labels = state.save(
+            parents.join(above, "parent").select(
+                "id", "parent", "grand", ((c("_old") != c("parent")) | (c("parent") != c("grand"))).alias("moved")
+            )
+        )
+        if labels.filter("moved").isEmpty():
+            return labels.select("id", c("parent").alias("component"))
     raise RuntimeError(f"components still changing after {max_rounds} rounds")
 
 

@@ -45,7 +45,7 @@ def c7(t: Tables) -> DataFrame:
 
 @query(
     "C8",
-    f"""SELECT event_id, idx, round(d, 4) AS distance_m FROM (
+    f"""SELECT event_id, idx, round(round(d, 6), 4) AS distance_m FROM (
           SELECT f.event_id, v.idx, {M.haversine('f.lat', 'f.lon', 'v.lat', 'v.lon')} AS d,
                  row_number() OVER (PARTITION BY f.event_id ORDER BY round({M.haversine('f.lat', 'f.lon', 'v.lat', 'v.lon')}, 6), v.idx) AS rn
           FROM ({M.FIXES}) f JOIN ({M.ROUTE_VERTICES}) v ON f.trip_id = v.trip_id) x WHERE rn = 1""",

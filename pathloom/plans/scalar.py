@@ -120,8 +120,8 @@ SELECT event_id, round(azimuth, 4) AS azimuth,
 @query("C11", _SOLAR)
 def c11(t: Tables) -> DataFrame:
     hops = t.sql(M.HOPS.replace("FROM events", ", ts FROM events"))
-    azimuth, elevation = solar.solar_position(F.unix_micros(c("ts").cast("timestamp")) / 1e6, c("lat1"), c("lon1"))
-    return hops.select("event_id", F.round(azimuth, 4).alias("azimuth"), F.round(elevation, 4).alias("elevation"))
+    placed = solar.with_solar_position(hops, F.unix_micros(c("ts").cast("timestamp")) / 1e6, c("lat1"), c("lon1"))
+    return placed.select("event_id", F.round("azimuth", 4).alias("azimuth"), F.round("elevation", 4).alias("elevation"))
 
 
 def grid_sql(source: str, keys: str, lat: str = "lat", lon: str = "lon") -> str:

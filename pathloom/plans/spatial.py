@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import rules
 from pathloom.functions.geo import round_even
-from pathloom.functions.solar import solar_position
+from pathloom.functions.solar import with_solar_position
 from pathloom.operators import spatial as S
 from pathloom.operators.components import cluster_signals
 from pathloom.plans import mapping as M
@@ -24,7 +24,7 @@ _MODE_POINTS = f"SELECT point_id, lat, lon, CASE WHEN point_id % 2 = 0 THEN 'wal
 
 @query(
     "J1",
-    f"""SELECT point_id, node_id, round(d, 3) AS distance_m FROM (SELECT p.point_id, n.node_id, {M.haversine('p.lat', 'p.lon', 'n.lat', 'n.lon')} AS d,
+    f"""SELECT point_id, node_id, round(round(d, 6), 3) AS distance_m FROM (SELECT p.point_id, n.node_id, {M.haversine('p.lat', 'p.lon', 'n.lat', 'n.lon')} AS d,
           row_number() OVER (PARTITION BY p.point_id ORDER BY round({M.haversine('p.lat', 'p.lon', 'n.lat', 'n.lon')}, 6), n.node_id) AS rn
         FROM ({_MODE_POINTS}) p JOIN ({_MODE_NODES}) n ON n.mode = p.mode) x WHERE rn = 1""",
 )
@@ -35,7 +35,7 @@ def j1(t: Tables) -> DataFrame:
 
 @query(
     "J2",
-    f"""SELECT p.point_id, coalesce(x.place_id, -1) AS place_id, round(x.d, 3) AS distance_m FROM ({M.POINTS}) p LEFT JOIN (
+    f"""SELECT p.point_id, coalesce(x.place_id, -1) AS place_id, round(round(x.d, 6), 3) AS distance_m FROM ({M.POINTS}) p LEFT JOIN (
           SELECT * FROM (SELECT p.point_id, n.place_id, {M.haversine('p.lat', 'p.lon', 'n.lat', 'n.lon')} AS d,
             row_number() OVER (PARTITION BY p.point_id ORDER BY round({M.haversine('p.lat', 'p.lon', 'n.lat', 'n.lon')}, 6), n.place_id) AS rn
           FROM ({M.POINTS}) p JOIN ({M.PLACES}) n ON n.lat BETWEEN p.lat - 0.02 AND p.lat + 0.02 AND n.lon BETWEEN p.lon - 0.03 AND p.lon + 0.03) y WHERE rn = 1 AND d <= 2000) x
@@ -125,8 +125,8 @@ def shade_of_routes(t: Tables) -> tuple[DataFrame, DataFrame]:
     samples = S.route_samples(S.route_segments(vertices, ["trip_id"]), ["trip_id"])
     # departures between 05:00 and 14:00 UTC of one winter day: night, low and high sun
     departure = F.lit(1704067200 + 5 * 3600) + (c("trip_id") % 4) * 10800
-    azimuth, elevation = solar_position(departure.cast("double"), c("lat"), c("lon"))
-    sun = vertices.filter(c("idx") == 0).select("trip_id", azimuth.alias("azimuth"), elevation.alias("elevation"))
+    starts = vertices.filter(c("idx") == 0)
+    sun = with_solar_position(starts, departure.cast("double"), c("lat"), c("lon")).select("trip_id", "azimuth", "elevation")
     return S.shade_samples(samples, sun, buildings(t), "trip_id"), sun
 
 
