@@ -28,7 +28,8 @@ def haversine_m(lat1: ColumnOrFloat, lon1: ColumnOrFloat, lat2: ColumnOrFloat, l
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     chord = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.asin(F.least(F.lit(1.0), F.sqrt(chord))) * (2 * K.EARTH_RADIUS_M)
+    # not least(): it skips nulls, and a missing coordinate must give a missing distance
+    return F.asin(F.when(chord > 1, 1.0).otherwise(F.sqrt(chord))) * (2 * K.EARTH_RADIUS_M)
 
 
 def bearing_degrees(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -135,8 +135,8 @@ FROM customer CROSS JOIN (SELECT count(*) AS n FROM supplier) s"""
 
 def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return (
-        f"2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2)"
-        f" + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))))"
+        f"(CASE WHEN {lat1} IS NULL OR {lat2} IS NULL THEN NULL ELSE 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2)"
+        f" + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))) END)"
     )
 
 
