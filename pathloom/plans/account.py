@@ -58,12 +58,12 @@ def w10(t: Tables) -> DataFrame:
 
 
 def _place_events(kind: str) -> str:
-    return f"SELECT user_id AS subject, event_id % 10 AS place_id, ts AS at, event_id AS id FROM events WHERE event_type = '{kind}'"
+    return f"SELECT user_id AS subject, event_id % 10 AS place_id, ts AS seen_at, event_id AS id FROM events WHERE event_type = '{kind}'"
 
 
 def _ranked_sql(kind: str, keep: int, having: str) -> str:
-    return f"""SELECT subject, place_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY at DESC, id DESC) AS rank FROM (
-      SELECT subject, place_id, max(at) AS at, arg_max(id, at) AS id FROM ({_place_events(kind)}) e GROUP BY subject, place_id {having}) x) y WHERE rank <= {keep}"""
+    return f"""SELECT subject, place_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY seen_at DESC, id DESC) AS rank FROM (
+      SELECT subject, place_id, max(seen_at) AS seen_at, arg_max(id, seen_at) AS id FROM ({_place_events(kind)}) e GROUP BY subject, place_id {having}) x) y WHERE rank <= {keep}"""
 
 
 @query(

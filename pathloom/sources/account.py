@@ -46,13 +46,13 @@ def without_deleted(favorites: DataFrame, deletions: DataFrame) -> DataFrame:
 
 def recents(visits: DataFrame, keep: int = 6) -> DataFrame:
     """Last visited places of each subject, each place once, newest first."""
-    last = visits.groupBy("subject", "place_id").agg(F.max(F.struct("at", "id")).alias("_last"))
+    last = visits.groupBy("subject", "place_id").agg(F.max(F.struct("seen_at", "id")).alias("_last"))
     ranked = top_k(last, ["subject"], [c("_last").desc()], keep)
     return ranked.select("subject", "place_id", "rank")
 
 
 def toggled_favorites(toggles: DataFrame, keep: int = 20) -> DataFrame:
     """Places toggled an odd number of times, last toggled first."""
-    counted = toggles.groupBy("subject", "place_id").agg(F.count("*").alias("_n"), F.max(F.struct("at", "id")).alias("_last"))
+    counted = toggles.groupBy("subject", "place_id").agg(F.count("*").alias("_n"), F.max(F.struct("seen_at", "id")).alias("_last"))
     ranked = top_k(counted.filter(c("_n") % 2 == 1), ["subject"], [c("_last").desc()], keep)
     return ranked.select("subject", "place_id", "rank")
