@@ -128,7 +128,7 @@ def off_route(fixes: DataFrame, chunk) -> DataFrame:
         UNION ALL SELECT 9, 0, 'not_configured'""",
 )
 def a9(t: Tables) -> DataFrame:
-    expected = t.spark.range(1).select(F.explode(F.array(*[F.lit(p) for p in (0, 1, 2, 9)])).cast("long").alias("provider"))
+    expected = t.spark.range(1).select(F.explode(F.array(*[F.lit(p).cast("long") for p in (0, 1, 2, 9)])).alias("provider"))
     return feed_status(expected, t.sql(M.VEHICLES), F.lit("2024-01-30 23:50:00").cast("timestamp_ntz"))
 
 
