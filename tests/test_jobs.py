@@ -298,7 +298,7 @@ def test_streaming_progress_equals_batch(spark):
         "trip_id", F.transform("v", lambda v: v["lat"]).alias("lats"), F.transform("v", lambda v: v["lon"]).alias("lons")
     )
     with tempfile.TemporaryDirectory() as directory:
-        timed = fixes.withColumn("ts", F.timestamp_seconds(c("ts_us") * 5))
+        timed = fixes.withColumn("ts", F.timestamp_seconds(1_704_067_200 + c("ts_us") * 5))
         for low, high in ((0, 7), (7, 13), (13, 19)):
             timed.filter((c("ts_us") >= low) & (c("ts_us") < high)).coalesce(1).write.mode("append").parquet(f"{directory}/in")
         stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(f"{directory}/in")
