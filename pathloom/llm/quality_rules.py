@@ -35,6 +35,8 @@ _STRUCT = pa.struct([(name, pa.int64()) for name in FIGURES])
 
 _BLANKS = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
+_UPPER = bytes(range(65, 91))
+_NOT_LETTERS = bytes(b for b in range(256) if b >= 128 or not chr(b).isalpha())
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,16 +76,16 @@ def duplicate_lines(text: str) -> int:
 
 
 def figures(text: str) -> dict:
-    words = text.encode("utf-8", "replace").split()
-    letters = sum(map(str.isalpha, text)) if not text.isascii() else len(text.encode().translate(None, _NOT_LETTERS))
+    data = text.encode("utf-8", "replace")
+    words = data.split()
     return {
         "n_words": len(words),
         "word_chars": len(text) - sum(map(text.count, _BLANKS)),
         "n_symbols": sum(map(text.count, _SYMBOLS)),
         "n_dup_lines": duplicate_lines(text),
         "n_repeat_words": repeated_words(words),
-        "n_upper": len(text) - len(text.encode("utf-8", "replace").translate(None, _UPPER)) + (len(text.encode("utf-8", "replace")) - len(text)),
-        "n_letters": letters,
+        "n_upper": len(data) - len(data.translate(None, _UPPER)),
+        "n_letters": len(data.translate(None, _NOT_LETTERS)),
         "n_distinct": len(set(words)),
         "n_shouts": text.count("!"),
         "n_bars": text.count("|"),
@@ -91,8 +93,6 @@ def figures(text: str) -> dict:
     }
 
 
-_UPPER = bytes(range(65, 91))
-_NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
 
 
 def measured(docs: DataFrame) -> DataFrame:
