@@ -134,3 +134,16 @@ def blocks_for(size: int, limit: int) -> int:
 #: White space of the tokenizers' patterns (their library's \s), as a character class.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPACES = re.compile(f"[{SPACE}]+")
+#: Copies of the small side of a join whose key may hold a third of the other side's rows.
+SALTS = 8
+
+
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """Join rows to one row per key, with the rows of a hot key dealt over several tasks by another column."""
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
+def with_key(frame: DataFrame) -> DataFrame:
+    """The frame with `_doc` and `_text` added."""
+    return frame.withColumns(dict(zip(("_doc", "_text"), document_key(), strict=True)))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontaminate, encoding, quality_rules, token_count, token_files
+from pathloom.llm import decontaminate, encoding, line_dedup, quality_rules, token_count, token_files, toxicity, url_filter
 from pathloom.llm.common import shared_folder, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -20,6 +20,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("_removed").alias("n_removed"), "text")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encoding.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
     return coded.select(
@@ -27,6 +35,17 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), F.col("_toxicity.score").alias("score"),
+        (F.col("_toxicity.score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("_toxicity.passages").cast("long").alias("n_passages"),
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(WORD_BPE), END_ID)
@@ -45,7 +64,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_url_filter": op3_url_filter,
     "op4_bpe": op4_bpe,
+    "op5_toxicity": op5_toxicity,
     "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
@@ -76,4 +98,24 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-ORACLES = {"op1_decontamination": OP1_SQL}
+OP2_SQL = r"""
+WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, no, line FROM (
+  SELECT doc_id, unnest(range(0, len(ls))) AS no, trim(unnest(ls), ' ' || chr(9) || chr(13)) AS line FROM raw) WHERE line <> ''),
+w AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS words FROM l),
+s AS (SELECT *, CAST(sum(words) OVER (PARTITION BY doc_id ORDER BY no) - words AS BIGINT) AS s FROM w),
+r AS (
+  SELECT doc_id, no, list(line) OVER run AS lines, sum(words) OVER run AS n, max(no) OVER run AS last
+  FROM s WINDOW run AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+k AS (SELECT *, row_number() OVER (PARTITION BY lines ORDER BY doc_id, no) AS nth FROM r WHERE n >= 50),
+gone AS (SELECT DISTINCT doc_id, unnest(range(no, last + 1)) AS no FROM k WHERE nth > 1),
+parts AS (SELECT doc_id, unnest(range(0, len(ls))) AS no, unnest(ls) AS line FROM raw),
+left_over AS (
+  SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.no) FILTER (g.no IS NULL) AS text, count(g.no) AS n_removed
+  FROM parts p LEFT JOIN gone g USING (doc_id, no) GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text
+FROM documents d LEFT JOIN left_over o USING (doc_id)
+"""
+
+ORACLES = {"op2_line_dedup": OP2_SQL, "op1_decontamination": OP1_SQL}
