@@ -2,8 +2,8 @@
 
 Training takes a bounded sample of labelled documents. Their distinct lines (so copies count once; a line seen in a
 clean document is clean) give token counts by class, and each token's log-odds under a Dirichlet prior taken from both
-classes together, with its z-score. Tokens that tell the classes apart are counted again by the words they follow, each
-such context once, which takes away what near copies of one document repeat. Those that still tell the classes apart
+classes together, with its z-score. Tokens that tell toxic texts are counted again by the words they follow, each
+such context once, which takes away what near copies of one document repeat. Those that still do
 carry their log-odds, all others a small loss.
 
 A scan linear in the words finds all maximal segments of positive score. A segment's score is put on the scale of the
@@ -33,6 +33,8 @@ MAX_TRAIN_DOCS = 20_000
 #: The prior's weight, as a share of all counted tokens.
 PRIOR_SHARE = 0.1
 MIN_Z = 4.5
+#: Least log-odds: words that are merely a little commoner in toxic texts don't mark passages.
+MIN_WEIGHT = 1.0
 GAP_LOSS = 0.2
 SIGNIFICANT = 0.05
 MAX_EVIDENCE = 60.0
@@ -169,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) ->
         odds = [F.log((F.col(y) + prior) / (F.lit(n + strength) - F.col(y) - prior)) for y, n in (("y1", n1), ("y0", n0))]
         sd = F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior))
         rated = table.select("token", "y0", (odds[0] - odds[1]).alias("weight"), sd.alias("sd"))
-        return rated.filter(F.abs(F.col("weight") / F.col("sd")) >= MIN_Z).collect()  # tokens of the bounded sample
+        return rated.filter((F.col("weight") >= MIN_WEIGHT) & (F.col("weight") >= MIN_Z * F.col("sd"))).collect()  # tokens of the bounded sample
 
     marked = spark.sparkContext.broadcast({r["token"].encode() for r in that_tell(counts)})
 
@@ -185,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) ->
     around = lines.select(F.explode(arrow_column(contexts, "array<struct<token: string, after: string>>", F.col("line"))).alias("c"), "_toxic")
     by_context = around.groupBy("c").agg(F.min("_toxic").alias("_toxic")).groupBy(F.col("c.token").alias("token"))
     telling = that_tell(by_context.agg(F.sum("_toxic").alias("y1"), F.sum(1 - F.col("_toxic")).alias("y0")))
-    if not any(r["weight"] > 0 for r in telling):
+    if not telling:
         return model
     model.weights = {r["token"].encode(): r["weight"] for r in telling}
     chances = np.array([(r["y0"] + 0.5) / (n0 + 0.5 * len(telling)) for r in telling])
