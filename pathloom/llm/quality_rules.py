@@ -2,7 +2,8 @@
 
 Each rule looks at one figure of a text and votes good, bad or not at all. The votes of all documents are counted by
 pattern (at most 3^rules patterns, however many documents), and expectation-maximisation over the patterns estimates
-for each rule how often it votes which way on good and on bad documents, and the share of good ones. A document's
+for each rule how often it votes which way on good and on bad documents, and the share of good ones. Documents that
+fail the base (too short, or repeats) are decided already and don't take part. A document's
 verdict is the posterior of its pattern. Figures are taken from whole texts where they are read; they are written to
 the shared folder once, small, because both the estimate and the verdicts need them.
 
@@ -13,6 +14,7 @@ the prior; an empty table gives no rows; repeated rows each get their result; ex
 from __future__ import annotations
 
 import math
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,14 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 KEEP_POSTERIOR = 0.5
 ROUNDS = 200
+MAX_FALSE_ALARM = 0.02
+#: First guess of a rule's votes (bad, none, good) on bad and on good documents, and how many documents it counts for.
+START = ((0.3, 0.1, 0.6), (0.02, 0.18, 0.8))
+PRIOR_DOCS = 5.0
 
 FIGURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_distinct", "n_shouts", "n_bars",
-    "n_ends",
+    "n_ends", "n_stutter",
 )
 _STRUCT = pa.struct([(name, pa.int64()) for name in FIGURES])
 
@@ -89,6 +95,7 @@ def figures(text: str) -> dict:
         "n_distinct": len(set(words)),
         "n_shouts": text.count("!"),
         "n_bars": text.count("|"),
+        "n_stutter": sum(map(eq, words, words[1:])),
         "n_ends": text.count(". ") + text.count(".\n") + text.endswith("."),
     }
 
@@ -120,6 +127,7 @@ def votes() -> dict[str, Column]:
     shouts = _ratio("n_shouts", "n_words")
     bars = _ratio("n_bars", "n_words")
     ends = _ratio("n_ends", "n_words")
+    stutter = _ratio("n_stutter", "n_words")
     few = F.col("n_words") < MIN_WORDS
     return {
         "symbols": _vote(symbols, symbols < 0.02, symbols > 0.1),
@@ -130,37 +138,42 @@ def votes() -> dict[str, Column]:
         "distinct": F.when(few, 0).otherwise(_vote(distinct, distinct > 0.25, distinct < 0.12)),
         "shouts": _vote(shouts, shouts < 0.02, shouts > 0.2),
         "bars": _vote(bars, bars < 0.01, bars > 0.2),
+        "stutter": _vote(stutter, stutter < 0.03, stutter > 0.2),
         "sentences": F.when(few, 0).otherwise(_vote(ends, ends > 0.01, ends < 0.002)),
     }
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float, np.ndarray]:
-    """Posterior of good for each vote pattern, the share of good, and (class, rule, vote) probabilities.
+def posteriors(patterns: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
+    logs = np.log(table)
+    rules = np.arange(patterns.shape[1])
+    bad, good = (logs[c][rules, patterns + 1].sum(1) for c in (0, 1))
+    return 1 / (1 + np.exp(np.clip(bad - good + math.log((1 - share) / share), -700, 700)))
 
-    Starts from rules that are right three times in four and half good documents; counts are smoothed by a small
-    prior in the same direction, so a rule that never votes stays harmless and the classes cannot swap.
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
+    """(share of good documents, class x rule x vote probabilities) from vote patterns and their counts.
+
+    Starts from START: good documents hardly ever get a bad vote, bad ones get some and good votes from the rules that
+    look at something else. A rule's false alarms on good documents stay at MAX_FALSE_ALARM at most, which is what the
+    rules are made for and keeps the good class from taking in what only one rule sees.
     """
     rules = patterns.shape[1]
-    prior = np.empty((2, rules, 3))
-    prior[0], prior[1] = (3.0, 1.0, 1.0), (1.0, 1.0, 3.0)
-    table = prior / prior.sum(2, keepdims=True)
-    share = 0.5
-    total = counts.sum()
-    posterior = np.full(len(counts), 0.5)
+    start = np.repeat(np.array(START)[:, None, :], rules, 1)
+    table, share = start.copy(), 0.5
+    before = None
     for _ in range(rounds):
-        logs = np.log(table)
-        score = [sum(logs[c, r, patterns[:, r] + 1] for r in range(rules)) + math.log(p) for c, p in ((0, 1 - share), (1, share))]
-        now = 1 / (1 + np.exp(np.clip(score[0] - score[1], -700, 700)))
-        done = np.max(np.abs(now - posterior), initial=0) < 1e-9
-        posterior = now
-        if done:
+        good = posteriors(patterns, share, table)
+        if before is not None and np.max(np.abs(good - before), initial=0) < 1e-9:
             break
-        share = float(np.clip(((posterior * counts).sum() + 1) / (total + 2), 1e-6, 1 - 1e-6))
-        for c, weight in ((0, (1 - posterior) * counts), (1, posterior * counts)):
+        before = good
+        share = float(np.clip(((good * counts).sum() + 1) / (counts.sum() + 2), 1e-6, 1 - 1e-6))
+        for c, weight in ((0, (1 - good) * counts), (1, good * counts)):
             for r in range(rules):
-                table[c, r] = np.bincount(patterns[:, r] + 1, weight, 3) + prior[c, r]
+                table[c, r] = np.bincount(patterns[:, r] + 1, weight, 3) + PRIOR_DOCS * start[c, r]
             table[c] /= table[c].sum(1, keepdims=True)
-    return posterior, share, table
+        alarms = np.minimum(table[1, :, :1], MAX_FALSE_ALARM)
+        table[1] = np.concatenate([alarms, table[1, :, 1:] * (1 - alarms) / table[1, :, 1:].sum(1, keepdims=True)], 1)
+    return share, table
 
 
 def judge(docs: DataFrame, keep: float = KEEP_POSTERIOR) -> DataFrame:
@@ -168,15 +181,16 @@ def judge(docs: DataFrame, keep: float = KEEP_POSTERIOR) -> DataFrame:
     spark = docs.sparkSession
     rules = votes()
     code = sum(((vote + 1) * F.lit(3**i) for i, vote in enumerate(rules.values())), F.lit(0))
-    figured = kept(measured(docs).withColumn("_code", code.cast("int")), "figures")
-    counted = figured.groupBy("_code").count().collect()  # at most 3^rules rows
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    figured = kept(measured(docs).withColumn("_code", code.cast("int")).withColumn("base_failed", failed), "figures")
+    # at most 3^rules rows; the method learns from what the base leaves to it
+    counted = figured.groupBy("_code").agg(F.count(F.when(~F.col("base_failed"), 1))).collect()
     codes = np.array([r[0] for r in counted], np.int64)
     patterns = np.stack([codes // 3**i % 3 - 1 for i in range(len(rules))], 1) if len(codes) else np.zeros((0, len(rules)), np.int64)
-    posterior, _, _ = estimate(patterns, np.array([r[1] for r in counted], float))
+    posterior = posteriors(patterns, *estimate(patterns, np.array([r[1] for r in counted], float)))
     verdicts = spark.createDataFrame([(int(c), float(p)) for c, p in zip(codes, posterior, strict=True)], "_code int, posterior double")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
         figured.join(F.broadcast(verdicts), "_code")  # one row for each vote pattern
-        .select("doc_id", *FIGURES, failed.alias("base_failed"), "posterior")
+        .select("doc_id", *FIGURES, "base_failed", "posterior")
         .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep))
     )
