@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import NO_ID, arrow_column, ascii_words, in_slices, kept, per_text, salted_join, with_key
+from pathloom.llm.common import NO_ID, arrow_column, ascii_words, in_slices, kept, salted_join, with_key
 from pathloom.operators.components import connected_components
 
 SHINGLE = 5
@@ -43,7 +43,6 @@ SEED = 0x5851F42D4C957F2D
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SIGNATURE = pa.struct([("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
-_SET = pa.struct([("items", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64()))])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -141,39 +140,32 @@ def signatures(texts: list[str], counted: bool, bands: int, rows: int) -> list[d
     return out
 
 
-def _similarities(batches):
-    """Exact weighted Jaccard of two (items, weights), items sorted."""
-    for batch in batches:
-        columns = [batch.field(i) for i in range(4)]
-        out = []
-        for row in range(len(batch)):
-            x, u, y, v = (np.asarray(c[row].values) for c in columns)
-            _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-            both = float(np.minimum(u[i], v[j]).sum())
-            out.append(both / (float(u.sum() + v.sum()) - both))
-        yield pa.array(out, pa.float64())
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of at least the similarity."""
-    left = sets.select(F.col("node").alias("a"), F.col("s.items").alias("x"), F.col("s.weights").alias("u"))
-    right = sets.select(F.col("node").alias("b"), F.col("s.items").alias("y"), F.col("s.weights").alias("v"))
-    both = pairs.join(right, "b").join(left, "a")
-    return both.withColumn("_j", arrow_column(_similarities, "double", F.struct("x", "u", "y", "v"))).filter(F.col("_j") >= similarity).select("a", "b")
+    """The pairs (a, b) of at least the similarity: items in common over items in either."""
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    alike = both / (F.size("x") + F.size("y") - both) >= similarity
+    return pairs.join(right, "b").join(left, "a").filter(alike).select("a", "b")
+
+
+def set_items(text: str, counted: bool) -> np.ndarray:
+    """A text's shingles for the exact comparison; one that counts n times is n items, so weights become set sizes."""
+    items, weights = shingles(ascii_words(text), counted)
+    if counted:
+        counts = weights.astype(np.int64)
+        number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        with np.errstate(over="ignore"):
+            items = mix(np.repeat(items, counts) + number.astype(np.uint64) * _GOLD)
+    return items.view(np.int64)
 
 
-def _rated_sets(docs: DataFrame, named: DataFrame, nodes: DataFrame, counted: bool) -> DataFrame:
-    """(node, s) for some nodes, from the text of one document of each."""
+def _item_sets(docs: DataFrame, named: DataFrame, nodes: DataFrame, counted: bool) -> DataFrame:
+    """(node, items) for some nodes, from the text of one document of each."""
     one = named.join(nodes, "node").select("_doc", "_text", "node")
     texts = with_key(docs.select("doc_id", "text")).join(one, ["_doc", "_text"]).select("node", "text").dropDuplicates(["node"])
-
-    def made(text: str) -> dict:
-        items, weights = shingles(ascii_words(text), counted)
-        signed = np.sort(items.view(np.int64))
-        return {"items": signed, "weights": weights[np.argsort(items.view(np.int64))]}
-
-    kind = "struct<items: array<bigint>, weights: array<double>>"
-    return texts.select("node", arrow_column(per_text(made, _SET), kind, F.col("text")).alias("s"))
+    made = in_slices(lambda part: [set_items(text, counted) for text in part], pa.list_(pa.int64()))
+    return texts.select("node", arrow_column(made, "array<bigint>", F.col("text")).alias("items"))
 
 
 def near_classes(
@@ -193,7 +185,7 @@ def near_classes(
     buckets = entries.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("_z")).filter("a != _z").select("bucket", "a")
     shared = kept(salted_join(entries, buckets, ["bucket"], F.col("node")).select("bucket", "a", F.col("node").alias("b")), "near-buckets")
     pairs = kept(shared.filter("a != b").select("a", "b").distinct(), "near-pairs")
-    sets = kept(_rated_sets(docs, named, shared.select(F.col("b").alias("node")).distinct(), counted), "near-sets")
+    sets = kept(_item_sets(docs, named, shared.select(F.col("b").alias("node")).distinct(), counted), "near-sets")
     links = kept(_verified(pairs, sets, similarity), "near-links")
     parts = _components(links)
     # buckets that still hold different components
