@@ -11,10 +11,11 @@ Entries equal with probability the (weighted) Jaccard similarity. They are joine
 documents at 0.8 share no band in (1 - 0.8^4)^25 = 2 in a million cases. Then the exact similarity decides.
 
 - Texts of the same words are one class from the start, so copies never meet each other.
-- In a bucket every class is compared with the bucket's least class only (links in number of rows), and linked classes
-  are components. Where a bucket then still holds more than one component, the pairs of classes across its components
-  are compared as well, so no link between different texts that share a bucket is missed, and a large group of near
-  copies is never paired with itself.
+- In a bucket every class is compared with one leader only (as many links as rows), the class that meets most others,
+  and linked classes are components. Where a bucket then still holds more than one component, the pairs across its
+  components that can reach the similarity at all, by their sizes and by the items no other set has, are compared as
+  well. So no link between different texts that share a bucket is missed, and a group of near copies is not paired
+  with itself.
 - Shingle sets are made for classes that share a bucket only.
 
 Defined results: documents without words (null, empty, blanks) are classes of their own; rows alike in doc_id and text
@@ -168,6 +169,30 @@ def _item_sets(docs: DataFrame, named: DataFrame, nodes: DataFrame, counted: boo
     return texts.select("node", arrow_column(made, "array<bigint>", F.col("text")).alias("items"))
 
 
+def _open_pairs(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) from different components that share a bucket and may be similar, from (bucket, node, c).
+
+    Items that only one of these sets has can't be common, so two sets of n and m items, u and v of them their own,
+    have at most min(n - u, m - v) in common, and similar ones have at least (n + m) * similarity / (1 + similarity).
+    A set for which that fails even against the bucket's smallest one is left out before sets are paired.
+    """
+    share = similarity / (1 + similarity)
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("_x"), F.max("c").alias("_y")).filter("_x != _y").select("bucket")
+    rows = kept(salted_join(placed, mixed, ["bucket"], F.col("node")), "near-open")
+    mine = sets.join(rows.select("node").distinct(), "node")
+    items = mine.select("node", F.explode("items").alias("item"))
+    single = items.groupBy("item").agg(F.count("*").alias("_n"), F.min("node").alias("node")).filter("_n = 1")
+    own = single.groupBy("node").agg(F.count("*").alias("_own"))
+    measured = kept(mine.join(own, "node", "left").select("node", F.size("items").alias("n"), (F.size("items") - F.coalesce("_own", F.lit(0))).alias("most")), "near-sizes")
+    sized = salted_join(rows, measured, ["node"], F.col("bucket"))
+    least = sized.groupBy("bucket").agg(F.min("n").alias("_least"))
+    able = kept(salted_join(sized, least, ["bucket"], F.col("node")).filter(F.col("most") >= share * (F.col("n") + F.col("_least"))).drop("_least"), "near-able")
+    left = able.select("bucket", F.col("node").alias("a"), F.col("c").alias("_c"), F.col("n").alias("_n"), F.col("most").alias("_most"))
+    right = able.withColumnRenamed("node", "b")
+    may = (F.col("a") < F.col("b")) & (F.col("c") != F.col("_c")) & (F.least("most", "_most") >= share * (F.col("n") + F.col("_n")))
+    return left.join(right, "bucket").filter(may).select("a", "b").distinct()
+
+
 def near_classes(
     docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = BAND_ROWS, counted: bool = False
 ) -> DataFrame:
@@ -182,21 +207,20 @@ def near_classes(
         .select("node", "k._doc", "k._text", "n", "bands"), "near-nodes",
     )
     entries = named.select("node", F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("_z")).filter("a != _z").select("bucket", "a")
-    shared = kept(salted_join(entries, buckets, ["bucket"], F.col("node")).select("bucket", "a", F.col("node").alias("b")), "near-buckets")
-    pairs = kept(shared.filter("a != b").select("a", "b").distinct(), "near-pairs")
-    sets = kept(_item_sets(docs, named, shared.select(F.col("b").alias("node")).distinct(), counted), "near-sets")
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("_m")).filter("_m > 1")
+    shared = kept(salted_join(entries, sizes, ["bucket"], F.col("node")), "near-buckets")
+    # the leader of a bucket is the class that meets most others anywhere: the middle of its group
+    met = shared.groupBy("node").agg(F.sum("_m").alias("_met"))
+    leaders = shared.join(met, "node").groupBy("bucket").agg(F.max(F.struct("_met", "node")).alias("_l")).select("bucket", F.col("_l.node").alias("leader"))
+    led = salted_join(shared, leaders, ["bucket"], F.col("node")).filter("node != leader")
+    pairs = kept(led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "near-pairs")
+    sets = kept(_item_sets(docs, named, shared.select("node").distinct(), counted), "near-sets")
     links = kept(_verified(pairs, sets, similarity), "near-links")
     parts = _components(links)
-    # buckets that still hold different components
-    placed = salted_join(shared, parts.withColumnRenamed("id", "b"), ["b"], F.col("bucket"), "left").select(
-        "bucket", "b", F.coalesce("component", "b").alias("c")
+    placed = salted_join(shared, parts.withColumnRenamed("id", "node"), ["node"], F.col("bucket"), "left").select(
+        "bucket", "node", F.coalesce("component", "node").alias("c")
     )
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("_x"), F.max("c").alias("_y")).filter("_x != _y").select("bucket")
-    open_ = kept(salted_join(placed, mixed, ["bucket"], F.col("b")), "near-open")
-    other = open_.select("bucket", F.col("b").alias("a"), F.col("c").alias("_c"))
-    across = open_.join(other, "bucket").filter((F.col("a") < F.col("b")) & (F.col("c") != F.col("_c"))).select("a", "b").distinct()
-    more = kept(_verified(across.join(pairs, ["a", "b"], "left_anti"), sets, similarity), "near-links")
+    more = kept(_verified(_open_pairs(placed, sets, similarity).join(pairs, ["a", "b"], "left_anti"), sets, similarity), "near-links")
     if not more.isEmpty():
         parts = _components(links.union(more))
     whole = named.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
