@@ -13,8 +13,8 @@ documents at 0.8 share no band in (1 - 0.8^4)^25 = 2 in a million cases. Then th
 - Texts of the same words are one class from the start, so copies never meet each other.
 - In a bucket every class is compared with one leader only (as many links as rows), the class that meets most others,
   and linked classes are components. Where a bucket then still holds more than one component, the pairs across its
-  components that can reach the similarity at all, by their sizes and by the items no other set has, are compared as
-  well. So no link between different texts that share a bucket is missed, and a group of near copies is not paired
+  components that can reach the similarity at all, by sizes, items of the leader and items no other set has, are compared
+  as well. So no link between different texts that share a bucket is missed, and a group of near copies is not paired
   with itself.
 - Shingle sets are made for classes that share a bucket only.
 
@@ -141,13 +141,12 @@ def signatures(texts: list[str], counted: bool, bands: int, rows: int) -> list[d
     return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of at least the similarity: items in common over items in either."""
+def _rated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, common, alike) for pairs (a, b): items in common, and that over items in either."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    alike = both / (F.size("x") + F.size("y") - both) >= similarity
-    return pairs.join(right, "b").join(left, "a").filter(alike).select("a", "b")
+    both = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("x", "y")))
+    return both.select("a", "b", "common", (F.col("common") / (F.size("x") + F.size("y") - F.col("common"))).alias("alike"))
 
 
 def set_items(text: str, counted: bool) -> np.ndarray:
@@ -169,12 +168,13 @@ def _item_sets(docs: DataFrame, named: DataFrame, nodes: DataFrame, counted: boo
     return texts.select("node", arrow_column(made, "array<bigint>", F.col("text")).alias("items"))
 
 
-def _open_pairs(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) from different components that share a bucket and may be similar, from (bucket, node, c).
+def _open_pairs(placed: DataFrame, sets: DataFrame, rated: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) from different components that share a bucket and may be similar, from (bucket, leader, node, c).
 
-    Items that only one of these sets has can't be common, so two sets of n and m items, u and v of them their own,
-    have at most min(n - u, m - v) in common, and similar ones have at least (n + m) * similarity / (1 + similarity).
-    A set for which that fails even against the bucket's smallest one is left out before sets are paired.
+    Two sets of n and m items that are similar have at least (n + m) * similarity / (1 + similarity) in common. What
+    they can have in common at most: of the leader's items, no more than either has in common with the leader; of all
+    other items, no more than either has that any other of these sets has too. A set for which that fails even against
+    the bucket's smallest one is left out before sets are paired.
     """
     share = similarity / (1 + similarity)
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("_x"), F.max("c").alias("_y")).filter("_x != _y").select("bucket")
@@ -183,14 +183,18 @@ def _open_pairs(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     items = mine.select("node", F.explode("items").alias("item"))
     single = items.groupBy("item").agg(F.count("*").alias("_n"), F.min("node").alias("node")).filter("_n = 1")
     own = single.groupBy("node").agg(F.count("*").alias("_own"))
-    measured = kept(mine.join(own, "node", "left").select("node", F.size("items").alias("n"), (F.size("items") - F.coalesce("_own", F.lit(0))).alias("most")), "near-sizes")
+    measured = kept(mine.join(own, "node", "left").select("node", F.size("items").alias("n"), F.coalesce("_own", F.lit(0)).alias("own")), "near-sizes")
     sized = salted_join(rows, measured, ["node"], F.col("bucket"))
+    sized = sized.withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")}).join(rated.select("a", "b", "common"), ["a", "b"], "left")
+    inside = F.when(F.col("node") == F.col("leader"), F.col("n")).otherwise(F.col("common"))
+    sized = sized.select("bucket", "node", "c", "n", inside.alias("inside"), F.greatest(F.lit(0), F.col("n") - inside - F.col("own")).alias("outside"))
     least = sized.groupBy("bucket").agg(F.min("n").alias("_least"))
-    able = kept(salted_join(sized, least, ["bucket"], F.col("node")).filter(F.col("most") >= share * (F.col("n") + F.col("_least"))).drop("_least"), "near-able")
-    left = able.select("bucket", F.col("node").alias("a"), F.col("c").alias("_c"), F.col("n").alias("_n"), F.col("most").alias("_most"))
-    right = able.withColumnRenamed("node", "b")
-    may = (F.col("a") < F.col("b")) & (F.col("c") != F.col("_c")) & (F.least("most", "_most") >= share * (F.col("n") + F.col("_n")))
-    return left.join(right, "bucket").filter(may).select("a", "b").distinct()
+    able = salted_join(sized, least, ["bucket"], F.col("node")).filter(F.col("inside") + F.col("outside") >= share * (F.col("n") + F.col("_least")))
+    able = kept(able.drop("_least"), "near-able")
+    left = able.select("bucket", *(F.col(x).alias(f"_{x}") for x in ("node", "c", "n", "inside", "outside")))
+    may = (F.col("_node") < F.col("node")) & (F.col("c") != F.col("_c"))
+    enough = F.least("inside", "_inside") + F.least("outside", "_outside") >= share * (F.col("n") + F.col("_n"))
+    return left.join(able, "bucket").filter(may & enough).select(F.col("_node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def near_classes(
@@ -212,15 +216,17 @@ def near_classes(
     # the leader of a bucket is the class that meets most others anywhere: the middle of its group
     met = shared.groupBy("node").agg(F.sum("_m").alias("_met"))
     leaders = shared.join(met, "node").groupBy("bucket").agg(F.max(F.struct("_met", "node")).alias("_l")).select("bucket", F.col("_l.node").alias("leader"))
+    leaders = kept(leaders, "near-leaders")
     led = salted_join(shared, leaders, ["bucket"], F.col("node")).filter("node != leader")
     pairs = kept(led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "near-pairs")
     sets = kept(_item_sets(docs, named, shared.select("node").distinct(), counted), "near-sets")
-    links = kept(_verified(pairs, sets, similarity), "near-links")
+    rated = kept(_rated(pairs, sets), "near-rated")
+    links = rated.filter(F.col("alike") >= similarity).select("a", "b")
     parts = _components(links)
-    placed = salted_join(shared, parts.withColumnRenamed("id", "node"), ["node"], F.col("bucket"), "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("c")
-    )
-    more = kept(_verified(_open_pairs(placed, sets, similarity).join(pairs, ["a", "b"], "left_anti"), sets, similarity), "near-links")
+    placed = salted_join(salted_join(shared, leaders, ["bucket"], F.col("node")), parts.withColumnRenamed("id", "node"), ["node"], F.col("bucket"), "left")
+    placed = placed.select("bucket", "leader", "node", F.coalesce("component", "node").alias("c"))
+    open_ = _open_pairs(placed, sets, rated, similarity).join(pairs, ["a", "b"], "left_anti")
+    more = kept(_rated(open_, sets).filter(F.col("alike") >= similarity).select("a", "b"), "near-links")
     if not more.isEmpty():
         parts = _components(links.union(more))
     whole = named.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
