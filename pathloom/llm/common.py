@@ -21,6 +21,8 @@ from pathloom.session import ensure_checkpoint_dir
 NO_ID = -(2**63)
 #: Texts are handled in slices of about this many characters inside a task.
 SLICE_CHARS = 1 << 20
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -39,6 +41,14 @@ def kept(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def small_batches() -> None:
+    """Lower the bytes of an Arrow batch to BATCH_BYTES where the session allows more, so that a worker's memory doesn't
+    follow the length of texts times the default number of rows."""
+    conf = SparkSession.active().conf
+    if int(conf.get(_BATCH_CONF).rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def arrow_column(function: Callable[[Iterator], Iterator], kind: str, source: Column) -> Column:
     """A column computed from another by a function on iterators of Arrow arrays; only that column goes to Python.
 
@@ -48,6 +58,7 @@ def arrow_column(function: Callable[[Iterator], Iterator], kind: str, source: Co
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from function(batches)
 
+    small_batches()
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, kind).asNondeterministic()(source)
 
@@ -76,12 +87,12 @@ def slices(batches: Iterator[pa.Array], limit: int = SLICE_CHARS) -> Iterator[tu
         yield part, True
 
 
-def in_slices(function: Callable[[list[str]], list], kind: pa.DataType) -> Callable[[Iterator], Iterator]:
+def in_slices(function: Callable[[list[str]], list], kind: pa.DataType, limit: int = SLICE_CHARS) -> Callable[[Iterator], Iterator]:
     """Values for lists of texts of bounded size; a null text counts as empty."""
 
     def run(batches):
         done: list = []
-        for part, last in slices(batches):
+        for part, last in slices(batches, limit):
             done += function(part)
             if last:
                 yield pa.array(done, type=kind)

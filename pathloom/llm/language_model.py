@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import SLICE_CHARS, arrow_column, blocks_for, in_slices, kept, salted_join, slices, with_key
+from pathloom.llm.common import SLICE_CHARS, arrow_column, blocks_for, in_slices, kept, salted_join, slices, small_batches, with_key
 
 ORDER = 5
 BITS = 12
@@ -81,6 +81,7 @@ def _discounts(table: DataFrame) -> tuple[float, float, float]:
 
 def train(texts: DataFrame, name: str = "text") -> DataFrame | None:
     """The model as rows (kind, order, key, value): kind p, log2 probability of an n-gram; kind g, log2 back-off of a context."""
+    small_batches()
     top = kept(texts.select(F.coalesce(name, F.lit(""))).mapInArrow(_counts, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")), "kn-counts")
     tables = {ORDER: top}
     for order in range(ORDER - 1, 0, -1):

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import NO_ID, arrow_column, ascii_words, in_slices, kept, salted_join, with_key
+from pathloom.llm.common import NO_ID, SLICE_CHARS, arrow_column, ascii_words, in_slices, kept, salted_join, with_key
 from pathloom.operators.components import connected_components
 
 SHINGLE = 5
@@ -164,7 +164,7 @@ def _item_sets(docs: DataFrame, named: DataFrame, nodes: DataFrame, counted: boo
     """(node, items) for some nodes, from the text of one document of each."""
     one = named.join(nodes, "node").select("_doc", "_text", "node")
     texts = with_key(docs.select("doc_id", "text")).join(one, ["_doc", "_text"]).select("node", "text").dropDuplicates(["node"])
-    made = in_slices(lambda part: [set_items(text, counted) for text in part], pa.list_(pa.int64()))
+    made = in_slices(lambda part: [set_items(text, counted) for text in part], pa.list_(pa.int64()), SLICE_CHARS // 4)
     return texts.select("node", arrow_column(made, "array<bigint>", F.col("text")).alias("items"))
 
 
@@ -202,7 +202,7 @@ def near_classes(
 ) -> DataFrame:
     """(_doc, _text, class_doc, class_text, class_size), one row for each row of the documents."""
     kind = "struct<node: binary, bands: array<bigint>>"
-    made = arrow_column(in_slices(lambda texts: signatures(texts, counted, bands, rows), _SIGNATURE), kind, F.col("text"))
+    made = arrow_column(in_slices(lambda texts: signatures(texts, counted, bands, rows), _SIGNATURE, SLICE_CHARS // 4), kind, F.col("text"))
     signed = kept(with_key(docs.select("doc_id", "text")).select("_doc", "_text", made.alias("_s")).select("_doc", "_text", "_s.*"), "signatures")
     key = F.struct("_doc", "_text")
     named = kept(

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import CACHE_WORD_CHARS, CACHE_WORDS, byte_letters, library, load, normal_words, words_of
-from pathloom.llm.common import NO_ID, arrow_column
+from pathloom.llm.common import NO_ID, arrow_column, small_batches
 
 SEGMENT_IDS = 1 << 16
 SEGMENT_DOCS = 1 << 12
@@ -141,6 +141,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int) -> N
     """Encode whole documents and write them, each followed by the end id, in ascending doc_id order."""
     bits = bits_for(max(load(path).size, end_id + 1))
     order = [F.coalesce("doc_id", F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))]
+    small_batches()
     ranged = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     ranged.select(F.col("doc_id").cast("long"), "text").mapInArrow(_segments(path, end_id, bits), SEGMENT).write.parquet(folder)
 
