@@ -6,6 +6,7 @@ in both are one document and get the same result, rows with the same id and diff
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import uuid
@@ -49,14 +50,31 @@ def small_batches() -> None:
         conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
-def arrow_column(function: Callable[[Iterator], Iterator], kind: str, source: Column) -> Column:
+#: What workers remember between tasks, by name; a worker that turns to other work forgets it.
+CACHES: dict[str, dict] = {}
+
+
+def _release(cache: str | None) -> None:
+    """Give a worker's unused memory back, as it may wait between stages for long."""
+    for name, remembered in CACHES.items():
+        if name != cache:
+            remembered.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def arrow_column(function: Callable[[Iterator], Iterator], kind: str, source: Column, cache: str | None = None) -> Column:
     """A column computed from another by a function on iterators of Arrow arrays; only that column goes to Python.
 
     It counts as non-deterministic so that a filter on its result doesn't compute it a second time.
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        _release(cache)
         yield from function(batches)
+        _release(cache)
 
     small_batches()
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

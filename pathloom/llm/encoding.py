@@ -22,7 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import CACHE_WORD_CHARS, CACHE_WORDS, Merges, load, normal_words, words_of
-from pathloom.llm.common import arrow_column, in_slices
+from pathloom.llm.common import CACHES, arrow_column, in_slices
+
+#: Words remembered by a worker; their ids are kept as well, so fewer than where only a count is.
+MAX_SEEN = CACHE_WORDS * 5 // 8
 
 
 def encode_words(words: list[str], merges: Merges) -> list[bytes]:
@@ -81,26 +84,30 @@ def encode_words(words: list[str], merges: Merges) -> list[bytes]:
     return [data[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-_seen: dict[str, dict[str, bytes]] = {}
+_seen: dict[str, dict[str, bytes]] = CACHES.setdefault("encoding", {})
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Packed ids of each text of a slice."""
     merges = load(path)
     seen = _seen.setdefault(path, {})
-    if len(seen) > CACHE_WORDS:
+    if len(seen) > MAX_SEEN:
         seen.clear()
     parts = [[(special, words_of(part, path, normal_words) if part else []) for special, part in merges.sections(text)] for text in texts]
     new = list({word for text in parts for _, words in text for word in words if word not in seen})
     fresh = dict(zip(new, encode_words(new, merges), strict=True))
-    seen.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHE_WORD_CHARS)
-    get = (seen | fresh if any(len(w) > CACHE_WORD_CHARS for w in new) else seen).__getitem__
-    return [b"".join(pack("<I", special) if special is not None else b"".join(map(get, words)) for special, words in text) for text in parts]
+    seen.update(fresh)
+    get = seen.__getitem__
+    coded = [b"".join(pack("<I", special) if special is not None else b"".join(map(get, words)) for special, words in text) for text in parts]
+    for word in new:
+        if len(word) > CACHE_WORD_CHARS:
+            del seen[word]
+    return coded
 
 
 def encoded(text: Column, path: str) -> Column:
     """The packed ids of a text column."""
-    return arrow_column(in_slices(lambda texts: encode_texts(texts, path), pa.binary()), "binary", text)
+    return arrow_column(in_slices(lambda texts: encode_texts(texts, path), pa.binary()), "binary", text, "encoding")
 
 
 def decoded(ids: Column, path: str) -> Column:
@@ -111,7 +118,7 @@ def decoded(ids: Column, path: str) -> Column:
         for values in batches:
             yield pa.array((" ".join(map(names.__getitem__, np.frombuffer(v.as_py() or b"", "<u4").tolist())) for v in values), pa.string())
 
-    return arrow_column(run, "string", ids)
+    return arrow_column(run, "string", ids, "encoding")
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import CACHE_WORD_CHARS, CACHE_WORDS, Merges, byte_pieces, load, words_of
-from pathloom.llm.common import arrow_column
+from pathloom.llm.common import CACHES, arrow_column
 
 
 def merged_length(symbols: list[int], merges: Merges) -> int:
@@ -59,7 +59,7 @@ class _Counts(dict):
         return count
 
 
-_seen: dict[str, _Counts] = {}
+_seen: dict[str, _Counts] = CACHES.setdefault("counts", {})
 
 
 def count_text(text: str, path: str) -> int:
@@ -84,5 +84,5 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
     return docs.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        arrow_column(run, "bigint", F.col("text")).alias("n_tokens"),
+        arrow_column(run, "bigint", F.col("text"), "counts").alias("n_tokens"),
     ).withColumn("over_limit", F.col("n_tokens") > limit)
