@@ -7,18 +7,26 @@ import re
 import sys
 import unicodedata
 from functools import lru_cache
+from itertools import islice
 
 import regex
 from tokenizers import Tokenizer
 
-from pathloom.llm.common import SPACE, SPACES
+from pathloom.llm.common import SPACE
 
 WORD_END = "</w>"
 #: Words kept in a worker's memory; longer words are encoded each time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 CACHE_WORD_CHARS = 64
 
 
+def trim_cache(words: dict, limit: int = CACHE_WORDS) -> None:
+    """Drop the latest quarter of a full cache: frequent words come early, and stay."""
+    if len(words) > limit:
+        for word in list(islice(words, limit * 3 // 4, None)):
+            del words[word]
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -130,8 +138,8 @@ def words_of(text: str, path: str, split) -> list[str]:
 
 
 def normal_words(text: str) -> list[str]:
-    """Words of the lower-case vocabulary with word ends: NFC, one blank for white space, letters lower-cased one by one."""
-    return _WORDS.findall(SPACES.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower())
+    """Words of the lower-case vocabulary with word ends: NFC, letters lower-cased one by one; no word holds white space."""
+    return _WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
 
 def byte_pieces(text: str) -> list[str]:

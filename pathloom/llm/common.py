@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ctypes
 import math
-import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -162,7 +161,6 @@ def blocks_for(size: int, limit: int) -> int:
 
 #: White space of the tokenizers' patterns (their library's \s), as a character class.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-SPACES = re.compile(f"[{SPACE}]+")
 #: Copies of the small side of a join whose key may hold a third of the other side's rows.
 SALTS = 8
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.bpe import CACHE_WORD_CHARS, CACHE_WORDS, Merges, load, normal_words, words_of
+from pathloom.llm.bpe import CACHE_WORD_CHARS, CACHE_WORDS, Merges, load, normal_words, trim_cache, words_of
 from pathloom.llm.common import CACHES, arrow_column, in_slices
 
 #: Words remembered by a worker; their ids are kept as well, so fewer than where only a count is.
@@ -91,8 +91,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Packed ids of each text of a slice."""
     merges = load(path)
     seen = _seen.setdefault(path, {})
-    if len(seen) > MAX_SEEN:
-        seen.clear()
+    trim_cache(seen, MAX_SEEN)
     parts = [[(special, words_of(part, path, normal_words) if part else []) for special, part in merges.sections(text)] for text in texts]
     new = list({word for text in parts for _, words in text for word in words if word not in seen})
     fresh = dict(zip(new, encode_words(new, merges), strict=True))

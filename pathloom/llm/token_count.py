@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.bpe import CACHE_WORD_CHARS, CACHE_WORDS, Merges, byte_pieces, load, words_of
+from pathloom.llm.bpe import CACHE_WORD_CHARS, Merges, byte_pieces, load, trim_cache, words_of
 from pathloom.llm.common import CACHES, arrow_column
 
 
@@ -66,8 +66,7 @@ def count_text(text: str, path: str) -> int:
     counts = _seen.get(path)
     if counts is None:
         counts = _seen[path] = _Counts(load(path))
-    if len(counts) > CACHE_WORDS:
-        counts.clear()
+    trim_cache(counts)
     get = counts.__getitem__
     total = 0
     for special, part in counts.merges.sections(text):

@@ -20,15 +20,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.bpe import CACHE_WORD_CHARS, CACHE_WORDS, byte_letters, library, load, normal_words, words_of
+from pathloom.llm.bpe import CACHE_WORD_CHARS, byte_letters, library, load, normal_words, trim_cache, words_of
 from pathloom.llm.common import NO_ID, arrow_column, small_batches
 
 SEGMENT_IDS = 1 << 16
 SEGMENT_DOCS = 1 << 12
 BLOCK_IDS = 1 << 12
+#: Shards (one for each writing task) whose starts are sent to all executors; more are joined by a shuffle.
+MAX_SENT_SHARDS = 200_000
 
 SEGMENT = (
-    "shard int, segment int, bits int, n_ids long, doc_ids array<long>, lengths array<long>, block_offsets array<long>, payload binary"
+    "shard int, first long, bits int, n_ids long, doc_ids array<long>, lengths array<long>, block_offsets array<long>, payload binary"
 )
 
 
@@ -41,6 +43,12 @@ def pack_ids(ids: np.ndarray, bits: int) -> tuple[bytes, list[int]]:
     parts, offsets, size = [], [], 0
     for start in range(0, len(ids), BLOCK_IDS):
         block = np.ascontiguousarray(ids[start : start + BLOCK_IDS], dtype="<u4")
+        if bits % 8 == 0:  # whole bytes
+            data = block.view(np.uint8).reshape(-1, 4)[:, : bits // 8].tobytes()
+            offsets.append(size)
+            parts.append(data)
+            size += len(data)
+            continue
         spread = np.unpackbits(block.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
         data = np.packbits(spread, bitorder="little").tobytes()
         offsets.append(size)
@@ -57,6 +65,11 @@ def unpack_ids(payload: bytes, offsets: list[int], bits: int, start: int, count:
     parts = []
     for block in range(first, last + 1):
         end = offsets[block + 1] if block + 1 < len(offsets) else len(payload)
+        if bits % 8 == 0:
+            wide = np.zeros(((end - offsets[block]) // (bits // 8), 4), np.uint8)
+            wide[:, : bits // 8] = np.frombuffer(payload, np.uint8, end - offsets[block], offsets[block]).reshape(len(wide), -1)
+            parts.append(wide.view("<u4").ravel())
+            continue
         stream = np.unpackbits(np.frombuffer(payload, np.uint8, end - offsets[block], offsets[block]), bitorder="little")
         n = len(stream) // bits
         wide = np.zeros((n, 32), np.uint8)
@@ -74,8 +87,9 @@ class _Words(dict):
         self.letters = str.maketrans({chr(b): letter for b, letter in enumerate(byte_letters())})
 
     def __missing__(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        ids = np.array([t.id for t in tokens], "<u4").tobytes()
+        # printable ASCII stands for itself in byte-level letters
+        plain = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(plain)])
         if len(word) <= CACHE_WORD_CHARS:
             self[word] = ids
         return ids
@@ -89,8 +103,7 @@ def library_ids(text: str, path: str) -> bytes:
     words = _seen.get(path)
     if words is None:
         words = _seen[path] = _Words(path)
-    if len(words) > CACHE_WORDS:
-        words.clear()
+    trim_cache(words)
     get = words.__getitem__
     return b"".join(
         np.array([special], "<u4").tobytes() if special is not None else b"".join(map(get, words_of(part, path, normal_words)))
@@ -102,7 +115,7 @@ def _segments(path: str, end_id: int, bits: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        shard, number = TaskContext.get().partitionId(), 0
+        shard, first = TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         lengths: list[int] = []
         parts: list[bytes] = []
@@ -112,11 +125,11 @@ def _segments(path: str, end_id: int, bits: int):
             payload, offsets = pack_ids(np.frombuffer(b"".join(parts), "<u4"), bits)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([bits], pa.int32()), pa.array([size], pa.int64()),
+                    pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([bits], pa.int32()), pa.array([size], pa.int64()),
                     pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())),
                     pa.array([offsets], pa.list_(pa.int64())), pa.array([payload], pa.binary()),
                 ],
-                ["shard", "segment", "bits", "n_ids", "doc_ids", "lengths", "block_offsets", "payload"],
+                ["shard", "first", "bits", "n_ids", "doc_ids", "lengths", "block_offsets", "payload"],
             )
 
         for batch in batches:
@@ -125,7 +138,7 @@ def _segments(path: str, end_id: int, bits: int):
                 count = len(ids) // 4
                 if docs and (size + count > SEGMENT_IDS or len(docs) >= SEGMENT_DOCS):
                     yield segment()
-                    number += 1
+                    first += size
                     docs, lengths, parts, size = [], [], [], 0
                 docs.append(doc.as_py())
                 lengths.append(count)
@@ -163,18 +176,16 @@ def _unpacked(batches):
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in the files; start counts the ids of all documents before it."""
     files = spark.read.parquet(folder)
-    # one row for each segment, without its ids: where it starts in its shard and its shard in the whole
-    heads = files.select("shard", "segment", "n_ids")
-    shards = heads.groupBy("shard").agg(F.sum("n_ids").alias("_total"))
-    shards = shards.withColumn("_shard", F.sum("_total").over(Window.orderBy("shard")) - F.col("_total")).drop("_total")
-    within = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("segment")) - F.col("n_ids")
-    starts = heads.withColumn("_within", within).join(shards, "shard").select("shard", "segment", (F.col("_shard") + F.col("_within")).alias("_first"))
+    # a segment tells where it starts in its shard, and the shards' totals where each of them starts
+    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("_total"))
+    shards = shards.select("shard", (F.sum("_total").over(Window.orderBy("shard")) - F.col("_total")).alias("_before"))
+    few = shards.count() <= MAX_SENT_SHARDS
     kind = "array<struct<doc_id: bigint, place: bigint, ids: binary>>"
-    opened = files.select(
-        "shard", "segment",
+    opened = files.join(F.broadcast(shards) if few else shards, "shard").select(
+        (F.col("_before") + F.col("first")).alias("_first"),
         F.explode(arrow_column(_unpacked, kind, F.struct("payload", "block_offsets", "bits", "doc_ids", "lengths"))).alias("_d"),
     )
-    return opened.join(starts, ["shard", "segment"]).select(
+    return opened.select(
         F.col("_d.doc_id").alias("doc_id"), (F.col("_first") + F.col("_d.place")).alias("start"),
         (F.octet_length("_d.ids") / 4).cast("long").alias("n_tokens"), F.col("_d.ids").alias("ids"),
     )
