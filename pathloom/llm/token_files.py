@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm.bpe import CACHE_WORD_CHARS, byte_letters, library, load, normal_words, trim_cache, words_of
-from pathloom.llm.common import NO_ID, arrow_column, small_batches
+from pathloom.llm.common import CACHES, NO_ID, arrow_column, small_batches
 
 SEGMENT_IDS = 1 << 16
 SEGMENT_DOCS = 1 << 12
 BLOCK_IDS = 1 << 12
 #: Shards (one for each writing task) whose starts are sent to all executors; more are joined by a shuffle.
 MAX_SENT_SHARDS = 200_000
+#: Words remembered by a worker: asking the library again costs more than the memory of their ids.
+MAX_SEEN = 1_200_000
 
 SEGMENT = (
     "shard int, first long, bits int, n_ids long, doc_ids array<long>, lengths array<long>, block_offsets array<long>, payload binary"
@@ -95,7 +97,7 @@ class _Words(dict):
         return ids
 
 
-_seen: dict[str, _Words] = {}
+_seen: dict[str, _Words] = CACHES.setdefault("library", {})
 
 
 def library_ids(text: str, path: str) -> bytes:
@@ -103,7 +105,7 @@ def library_ids(text: str, path: str) -> bytes:
     words = _seen.get(path)
     if words is None:
         words = _seen[path] = _Words(path)
-    trim_cache(words)
+    trim_cache(words, MAX_SEEN)
     get = words.__getitem__
     return b"".join(
         np.array([special], "<u4").tobytes() if special is not None else b"".join(map(get, words_of(part, path, normal_words)))
