@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import re
 import sys
 import unicodedata
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -18,6 +18,7 @@ WORD_END = "</w>"
 #: Words kept in a worker's memory; longer words are encoded each time.
 CACHE_WORDS = 500_000
 CACHE_WORD_CHARS = 64
+_PART_CHARS = 1 << 18
 
 
 def trim_cache(words: dict, limit: int = CACHE_WORDS) -> None:
@@ -106,17 +107,21 @@ _PIECES = regex.compile(
 
 
 @lru_cache(maxsize=1)
-def _unassigned() -> re.Pattern:
-    """Code points without a meaning in this Python's Unicode tables; other tables may class them otherwise."""
-    ranges, start = [], None
-    for code in range(sys.maxunicode + 2):
-        unknown = code <= sys.maxunicode and unicodedata.category(chr(code)) == "Cn"
-        if unknown and start is None:
-            start = code
-        elif not unknown and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{code - 1:08x}")
-            start = None
-    return re.compile(f"[{''.join(ranges)}]")
+def _unassigned() -> np.ndarray:
+    """For each code point, whether this Python's Unicode tables give it no meaning; other tables may class it otherwise."""
+    return np.fromiter((unicodedata.category(chr(code)) == "Cn" for code in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def has_unassigned(text: str) -> bool:
+    """Whether a text holds such a code point, looked up in parts of bounded size."""
+    if text.isascii():
+        return False
+    unknown = _unassigned()
+    for start in range(0, len(text), _PART_CHARS):
+        codes = np.frombuffer(text[start : start + _PART_CHARS].encode("utf-32-le", "replace"), "<u4")
+        if unknown[codes].any():
+            return True
+    return False
 
 
 @lru_cache(maxsize=4)
@@ -134,7 +139,7 @@ def words_by_library(text: str, path: str) -> list[str]:
 
 def words_of(text: str, path: str, split) -> list[str]:
     """Words by one of the splitters below, or by the library where code points are unassigned."""
-    return split(text) if text.isascii() or not _unassigned().search(text) else words_by_library(text, path)
+    return words_by_library(text, path) if has_unassigned(text) else split(text)
 
 
 def normal_words(text: str) -> list[str]:

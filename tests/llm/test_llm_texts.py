@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pathloom.llm import decontaminate, encoding, quality_rules, token_count, token_files
+from pathloom.llm import bpe, decontaminate, encoding, quality_rules, token_count, token_files
 from pathloom.llm.common import shared_folder
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -215,3 +215,9 @@ def test_digest_columns(spark):
         whole = np.append(ids[doc], 1).astype("<u4")
         assert (packed[doc]["start"], packed[doc]["n_tokens"], packed[doc]["ids_crc32"]) == (start, len(whole), zlib.crc32(whole.tobytes()))
         start += len(whole)
+
+
+def test_unassigned_code_points_are_found_anywhere():
+    assert not any(map(bpe.has_unassigned, ["", "plain", "é漢😀\n\u2028", "\ue000"]))
+    assert bpe.has_unassigned("\u0378") and bpe.has_unassigned("é" * (2 * bpe._PART_CHARS) + "\U000e0fff")
+    assert not bpe.has_unassigned("é" * (2 * bpe._PART_CHARS))
