@@ -12,7 +12,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from pathloom.llm.common import SPACE
+from pathloom.llm.common import FORGET, SPACE
 
 WORD_END = "</w>"
 #: Words kept in a worker's memory; longer words are encoded each time.
@@ -52,8 +52,10 @@ class Merges:
         self.vocabulary: dict[str, int] = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.ids = self.vocabulary | self.special
-        self.names = {i: name for name, i in self.ids.items()}
-        self.size = max(self.names) + 1
+        self.size = max(self.ids.values()) + 1
+        self.names = [""] * self.size
+        for name, i in self.ids.items():
+            self.names[i] = name
         self.rank: dict[int, int] = {}
         self.left: list[int] = []
         self.right: list[int] = []
@@ -129,6 +131,9 @@ def library(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+FORGET += [({"encoding", "counts", "library"}, forget) for forget in (load.cache_clear, library.cache_clear)]
+
+
 def words_by_library(text: str, path: str) -> list[str]:
     """Words as the tokenizer's own normaliser and splitter give them, for texts with unassigned code points."""
     tokenizer = library(path)

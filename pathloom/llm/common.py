@@ -51,6 +51,8 @@ def small_batches() -> None:
 
 #: What workers remember between tasks, by name; a worker that turns to other work forgets it.
 CACHES: dict[str, dict] = {}
+#: Called by a worker that turns to other work than any of the names.
+FORGET: list[tuple[set[str], Callable[[], None]]] = []
 
 
 def _release(cache: str | None) -> None:
@@ -58,6 +60,9 @@ def _release(cache: str | None) -> None:
     for name, remembered in CACHES.items():
         if name != cache:
             remembered.clear()
+    for names, forget in FORGET:
+        if cache not in names:
+            forget()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

@@ -26,6 +26,7 @@ extra columns are left aside or, where documents are returned, kept.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ SIMILARITY = 0.8
 BANDS = 25
 BAND_ROWS = 4
 SEED = 0x5851F42D4C957F2D
+#: Unit squares thrown at together. Even a document of one shingle needs some hundreds, so characters don't bound them.
+SQUARES = 1 << 18
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SIGNATURE = pa.struct([("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -127,16 +130,31 @@ def band_keys(entries: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _thrown_together(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[list[int]]:
+    """Places of the sets with items, in lists of about SQUARES unit squares."""
+    part, squares = [], 0.0
+    for i, (items, weights) in enumerate(sets):
+        if not len(items):
+            continue
+        need = k * math.log(k) + 2 * k + weights.sum()
+        if part and squares + need > SQUARES:
+            yield part
+            part, squares = [], 0.0
+        part.append(i)
+        squares += need
+    if part:
+        yield part
+
+
 def signatures(texts: list[str], counted: bool, bands: int, rows: int) -> list[dict]:
     split = [ascii_words(t) for t in texts]
     sets = [shingles(words, counted) for words in split]
-    filled = [i for i, (items, _) in enumerate(sets) if len(items)]
     out: list[dict] = [{"node": None, "bands": None}] * len(texts)
-    if filled:
-        owner = np.repeat(np.arange(len(filled)), [len(sets[i][0]) for i in filled])
-        entries = dart_entries(np.concatenate([sets[i][0] for i in filled]), np.concatenate([sets[i][1] for i in filled]), owner, len(filled), bands * rows)
+    for part in _thrown_together(sets, bands * rows):
+        owner = np.repeat(np.arange(len(part)), [len(sets[i][0]) for i in part])
+        entries = dart_entries(np.concatenate([sets[i][0] for i in part]), np.concatenate([sets[i][1] for i in part]), owner, len(part), bands * rows)
         keys = band_keys(entries, bands, rows)
-        for place, i in enumerate(filled):
+        for place, i in enumerate(part):
             out[i] = {"node": xxhash.xxh3_128_digest(b" ".join(split[i])), "bands": keys[place]}
     return out
 
