@@ -109,20 +109,36 @@ def encoded(text: Column, path: str) -> Column:
     return arrow_column(in_slices(lambda texts: encode_texts(texts, path), pa.binary()), "binary", text, "encoding")
 
 
-def decoded(ids: Column, path: str) -> Column:
+def decode_ids(ids: bytes, names: list[str]) -> str:
     """The text of packed ids: the names of all tokens, special ones too, with a blank between."""
+    return " ".join(map(names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def decoded(ids: Column, path: str) -> Column:
+    """The text of a column of packed ids."""
 
     def run(batches):
         names = load(path).names
         for values in batches:
-            yield pa.array((" ".join(map(names.__getitem__, np.frombuffer(v.as_py() or b"", "<u4").tolist())) for v in values), pa.string())
+            yield pa.array((decode_ids(v.as_py() or b"", names) for v in values), pa.string())
 
     return arrow_column(run, "string", ids, "encoding")
 
 
+_CODED = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded), one row for each row of the documents."""
-    coded = docs.select("doc_id", encoded(F.col("text"), path).alias("ids"))
-    return coded.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", decoded(F.col("ids"), path).alias("decoded")
-    )
+    """(doc_id, n_tokens, ids, decoded), one row for each row of the documents.
+
+    The ids are decoded where they were made: a function of their own for it would take a second worker in each task,
+    with the vocabulary once more.
+    """
+
+    def both(texts: list[str]) -> list[tuple[bytes, str]]:
+        names = load(path).names
+        return [(ids, decode_ids(ids, names)) for ids in encode_texts(texts, path)]
+
+    made = arrow_column(in_slices(both, _CODED), "struct<ids: binary, decoded: string>", F.col("text"), "encoding")
+    coded = docs.select("doc_id", made.alias("_c")).select("doc_id", "_c.ids", "_c.decoded")
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
