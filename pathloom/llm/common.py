@@ -171,8 +171,11 @@ SALTS = 8
 
 
 def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
-    """Join rows to one row per key, with the rows of a hot key dealt over several tasks by another column."""
-    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Join rows to one row per key, with the rows of a hot key dealt over several tasks by another column.
+
+    It always shuffles: Spark's estimate of the small side doesn't count the copies, so it would broadcast too much.
+    """
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     return many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
