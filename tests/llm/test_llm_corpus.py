@@ -334,3 +334,14 @@ def test_entry_adds_the_queries():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_signatures_do_not_depend_on_what_is_thrown_together(monkeypatch):
+    rng = random.Random(5)
+    texts = ["", *(words(rng, rng.randrange(30)) for _ in range(200))]
+    few = near_dedup.signatures(texts, False, near_dedup.BANDS, near_dedup.BAND_ROWS)
+    monkeypatch.setattr(near_dedup, "SQUARES", 1)
+    one = near_dedup.signatures(texts, False, near_dedup.BANDS, near_dedup.BAND_ROWS)
+    for a, b in zip(few, one, strict=True):
+        assert a["node"] == b["node"]
+        assert (a["bands"] is None and b["bands"] is None) or a["bands"].tolist() == b["bands"].tolist()
