@@ -4,9 +4,10 @@ Lines are trimmed and hashed; blank lines are passed over. A gram is the shortes
 with at least GRAM_WORDS words. Of all grams that start within WINDOW_WORDS words from a line, the one with the least
 hash is that line's fingerprint. Both cuts depend on the lines alone, so a passage of RUN_WORDS words or more that two
 places share (GRAM_WORDS + WINDOW_WORDS = RUN_WORDS) shows the same fingerprint in both: only fingerprints found at two
-positions or more have to be looked at. There the match is extended both ways: the runs of RUN_WORDS words on either
-side that contain the fingerprint are compared by the hashes of all their lines, equal runs are joined to the first
-of them, and overlapping later runs are put together. Their lines go; the first occurrence stays.
+positions or more have to be looked at. There the match is extended both ways: the shortest runs of RUN_WORDS words
+that start at a line and those that end at one are compared by the hashes of all their lines (every line of a longer
+match lies in one of them), equal runs are joined to the first of them, and overlapping later runs are put together.
+Their lines go; the first occurrence stays.
 
 Order is by doc_id (null first), hash of the text, line. A line goes if it lies in a run of at least RUN_WORDS words
 that has an equal run starting earlier. Words of a line are its blanks after trimming plus one.
@@ -33,7 +34,8 @@ _INNER = ("_doc", "_text", "_lines", "_gaps")
 
 
 def line_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
-    """(_doc, _text, no, fp, at, run, run2, end): the run of lines from each line on and its fingerprint."""
+    """(_doc, _text, no, fp, at, run, run2, end): the shortest runs from each line on and up to each line, and the
+    fingerprint of the line they start at."""
     lines = with_key(docs.select("doc_id", "text")).select(*KEY, F.posexplode(F.split(F.col("text"), "\n", -1)).alias("no", "line"))
     lines = lines.select(*KEY, "no", F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", "").alias("line")).filter("line != ''")
     lines = lines.select(
@@ -42,23 +44,42 @@ def line_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRA
     lines = lines.repartition(*KEY).dropDuplicates([*KEY, "no"])
     document = Window.partitionBy(*KEY)
     started = F.sum("words").over(document.orderBy("no").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
-    placed = lines.withColumn("s", started)
+    placed = lines.withColumn("s", started).withColumn("t", F.col("s") + F.col("words"))
 
     def ahead(words: int):
         return document.orderBy("s").rangeBetween(0, words - 1)
 
     gram, run, window = ahead(gram_words), ahead(run_words), ahead(run_words - gram_words)
+    up_to, line_before = document.orderBy("t").rangeBetween(1 - run_words, 0), document.orderBy("t")
     grams = placed.select(
-        *KEY, "no", "s",
+        *KEY, "no", "s", "t", "h", "words",
         F.when(F.sum("words").over(gram) >= gram_words, F.xxhash64(F.collect_list("h").over(gram))).alias("gram"),
         F.when(F.sum("words").over(run) >= run_words, F.collect_list("h").over(run)).alias("list"),
         F.max("no").over(run).alias("end"),
     )
     least = F.min(F.when(F.col("gram").isNotNull(), F.struct("gram", "no"))).over(window)
-    return grams.withColumn("_f", least).filter("list is not null").select(
-        *KEY, "no", F.col("_f.gram").alias("fp"), F.col("_f.no").alias("at"),
-        F.xxhash64("list").alias("run"), F.xxhash64(F.lit(1), "list").alias("run2"), "end",
+    marked = grams.withColumn("_f", least)
+    start = F.struct("no", "_f", "end", "h", "words")
+    ended = marked.withColumns({
+        "_from": F.first(start).over(up_to), "_back": F.collect_list("h").over(up_to),
+        "_full": F.sum("words").over(up_to) >= run_words, "_prev": F.lag(start).over(line_before),
+    })
+
+    def found(begin, mark, hashes, end):
+        return F.struct(
+            begin.alias("no"), mark["gram"].alias("fp"), mark["no"].alias("at"), F.xxhash64(hashes).alias("run"),
+            F.xxhash64(F.lit(1), hashes).alias("run2"), end.alias("end"),
+        )
+
+    onward = F.when(F.col("list").isNotNull(), found(F.col("no"), F.col("_f"), F.col("list"), F.col("end")))
+    # a run that is also the shortest from its first line on is there already
+    before = F.when(F.col("_full") & (F.col("_from.end") < F.col("no")), found(F.col("_from.no"), F.col("_from._f"), F.col("_back"), F.col("no")))
+    # two lines that are runs by themselves: blank lines between them lie in the run of both
+    both = F.when(
+        (F.col("words") >= run_words) & (F.col("_prev.words") >= run_words),
+        found(F.col("_prev.no"), F.col("_prev._f"), F.array("_prev.h", "h"), F.col("no")),
     )
+    return ended.select(*KEY, F.explode(F.array_compact(F.array(onward, before, both))).alias("_r")).select(*KEY, "_r.*")
 
 
 def repeated_ranges(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:

@@ -73,6 +73,35 @@ def test_line_dedup_repeated_rows_and_empty_tables(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def rule_lines(rows, run_words):
+    """Text and removed lines by the rule: all lines in any run of enough words that has an equal run starting earlier."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    filled = {d: [(i, x.strip(" \t\r")) for i, x in enumerate(t.split("\n")) if x.strip(" \t\r")] for d, t in order}
+    runs = [
+        (tuple(x for _, x in filled[d][a:b]), d, filled[d][a][0], filled[d][b - 1][0])
+        for d, _ in order for a in range(len(filled[d])) for b in range(a + 1, len(filled[d]) + 1)
+    ]
+    seen, gone = set(), defaultdict(set)
+    for run, doc, first, last in runs:
+        if sum(x.count(" ") + 1 for x in run) >= run_words:
+            if run in seen:
+                gone[doc].update(range(first, last + 1))
+            seen.add(run)
+    return {d: ("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]), len(gone[d])) for d, t in order}
+
+
+def test_line_dedup_removes_whole_matches(spark):
+    rng = random.Random(8)
+    passage = "\n".join(words(rng, n) for n in (30, 30, 15))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, [(1, passage), (2, passage + "\nforeign"), (3, "own\n" + passage)])).collect()}
+    assert got == {1: passage, 2: "foreign", 3: "own"}
+    pool = [words(rng, rng.choice([1, 2, 3, 5, 8, 12, 15]), 60) for _ in range(12)]
+    rows = [(i, "\n".join(rng.choice([*pool, "", " "]) for _ in range(rng.randint(0, 14)))) for i in range(50)]
+    rows += [(100 + i, "x y z\n" + rows[i][1] + "\nz y x") for i in range(0, 50, 5)]
+    got = {r["doc_id"]: (r["text"], r["_removed"]) for r in line_dedup.dedup_lines(frame(spark, rows), 12, 6).collect()}
+    assert got == rule_lines(rows, 12) and got != brute_lines(rows, 12)
+
+
 # near-dedup
 
 def brute_classes(rows, similarity=0.8):
