@@ -9,8 +9,10 @@ Documents are scored where they are read. The probability table goes to the exec
 letters of the context, which hold all that a position can ask for; a shard has at most about SHARD_ROWS entries, and a
 larger table takes a pass for each shard, whose sums are added up by document.
 
-A document is kept if its perplexity is at most a quantile of the trusted documents' perplexities in its language, plus
-a margin. Perplexities are drawn towards the language's mean as if PRIOR_LETTERS letters more had been read, so that
+A document is kept if its perplexity is at most a quantile of the trusted documents' perplexities in its language. For
+that quantile the trusted documents are dealt into FOLDS folds by a hash of doc_id, and each fold is scored by a model
+of the others, as a document not trained on would be; these models are made side by side from one table
+of counts by fold. Trusted documents with no others to be scored by take the whole model. Perplexities are drawn towards the language's mean as if PRIOR_LETTERS letters more had been read, so that
 short texts are not judged by a few letters.
 
 Defined results: a null or empty text has no letters, perplexity null, and is kept; a null language is a language of
@@ -37,7 +39,9 @@ SHARD_ROWS = 4_000_000
 #: Labels sent to all executors at most; more are joined by a shuffle.
 MAX_SENT_LABELS = 1_000_000
 QUANTILE = 0.995
-MARGIN_BITS = 0.25
+#: Folds of trusted documents; the model without a fold bears its number, the model of all of them WHOLE.
+FOLDS = 4
+WHOLE = -1
 PRIOR_LETTERS = 100
 
 _MASK = [(1 << (BITS * n)) - 1 for n in range(ORDER + 1)]
@@ -66,51 +70,66 @@ def text_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _counts(batches):
     for batch in batches:
-        for part, _ in slices([batch.column(0)], SLICE_CHARS):
-            grams, counts = np.unique(text_grams(part)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(counts.astype(np.int64), pa.int64())], ["gram", "c"])
+        folds, at = batch.column(0).to_numpy(), 0
+        for part, _ in slices([batch.column(1)], SLICE_CHARS):
+            mine, at = folds[at : at + len(part)], at + len(part)
+            for fold in np.unique(mine):
+                grams, counts = np.unique(text_grams([t for t, f in zip(part, mine, strict=True) if f == fold])[0], return_counts=True)
+                arrays = [pa.array(np.full(len(grams), fold, np.int32)), pa.array(grams, pa.int64()), pa.array(counts.astype(np.int64), pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["fold", "gram", "c"])
 
 
-def _discounts(table: DataFrame) -> tuple[float, float, float]:
-    """What is taken off counts of one, two and more."""
-    n1, n2, n3, n4 = (float(x or 0) for x in table.agg(*(F.count(F.when(F.col("c") == i, 1)) for i in range(1, 5))).first())
-    y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    taken = [i - (i + 1) * y * b / a if a else 0.5 * i for i, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)]
-    return tuple(min(max(d, 0.05), i - 0.05) for i, d in enumerate(taken, 1))
+def _by_fold(values: dict[int, Column]) -> Column:
+    return F.coalesce(*(F.when(F.col("fold") == fold, value) for fold, value in values.items()))
 
 
-def train(texts: DataFrame, name: str = "text") -> DataFrame | None:
-    """The model as rows (kind, order, key, value): kind p, log2 probability of an n-gram; kind g, log2 back-off of a context."""
+def _discounts(table: DataFrame) -> dict[int, tuple[float, float, float]]:
+    """What is taken off counts of one, two and more, by fold."""
+    out = {}
+    for row in table.groupBy("fold").agg(*(F.count(F.when(F.col("c") == i, 1)) for i in range(1, 5))).collect():
+        n1, n2, n3, n4 = (float(x) for x in row[1:])
+        y = n1 / (n1 + 2 * n2) if n1 else 0.5
+        taken = [i - (i + 1) * y * b / a if a else 0.5 * i for i, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)]
+        out[row[0]] = tuple(min(max(d, 0.05), i - 0.05) for i, d in enumerate(taken, 1))
+    return out
+
+
+def train(texts: DataFrame, name: str = "text", fold: Column | None = None) -> DataFrame | None:
+    """The model as rows (fold, kind, order, key, value): kind p, log2 probability of an n-gram; kind g, log2 back-off of
+    a context. With a column that deals texts into FOLDS folds, also the models without each fold."""
     small_batches()
-    top = kept(texts.select(F.coalesce(name, F.lit(""))).mapInArrow(_counts, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")), "kn-counts")
+    counted = texts.select((F.lit(0) if fold is None else fold).cast("int").alias("fold"), F.coalesce(name, F.lit(""))).mapInArrow(_counts, "fold int, gram long, c long")
+    left_out = [F.sum(F.when(F.col("fold") != f, F.col("c")).otherwise(0)) for f in range(FOLDS if fold is not None else 0)]
+    models = F.array(*(F.struct(F.lit(f).alias("fold"), c.alias("c")) for f, c in enumerate([F.sum("c"), *left_out], WHOLE)))
+    top = kept(counted.groupBy("gram").agg(models.alias("m")).select("gram", F.inline("m")).filter("c > 0"), "kn-counts")
     tables = {ORDER: top}
     for order in range(ORDER - 1, 0, -1):
         # in how many ways an n-gram is continued to the left
         above = tables[order + 1]
-        tables[order] = kept(above.groupBy(F.col("gram").bitwiseAND(F.lit(_MASK[order])).alias("gram")).agg(F.count("*").alias("c")), "kn-counts")
-    symbols = tables[1].count()
+        tables[order] = kept(above.groupBy("fold", F.col("gram").bitwiseAND(F.lit(_MASK[order])).alias("gram")).agg(F.count("*").alias("c")), "kn-counts")
+    symbols = dict(tables[1].groupBy("fold").count().collect())
     if not symbols:
         return None
     rows: list[DataFrame] = []
     shorter = None
     for order in range(1, ORDER + 1):
         table = tables[order]
-        d1, d2, d3 = _discounts(table)
-        taken = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+        taken = _by_fold({f: F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3) for f, (d1, d2, d3) in _discounts(table).items()})
         keyed = table.withColumn("context", F.shiftright("gram", BITS)).withColumn("d", taken)
-        contexts = keyed.groupBy("context").agg(F.sum("c").alias("total"), F.sum("d").alias("loss"))
+        contexts = keyed.groupBy("fold", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("loss"))
         if order == 1:
-            total, loss = contexts.select("total", "loss").first()
-            unseen = loss / total / (symbols + 1)
-            found = table.select("gram", ((F.col("c") - taken) / total + unseen).alias("p"))
-            rows.append(texts.sparkSession.createDataFrame([("p", 0, 0, float(np.log2(unseen)))], "kind string, order int, key long, value double"))
+            sums = {r["fold"]: r for r in contexts.collect()}  # one row a fold
+            unseen = {f: r["loss"] / r["total"] / (symbols[f] + 1) for f, r in sums.items()}
+            found = table.select("fold", "gram", _by_fold({f: (F.col("c") - taken) / r["total"] + unseen[f] for f, r in sums.items()}).alias("p"))
+            zero = [(f, "p", 0, 0, float(np.log2(u))) for f, u in unseen.items()]
+            rows.append(texts.sparkSession.createDataFrame(zero, "fold int, kind string, order int, key long, value double"))
         else:
-            below = shorter.select(F.col("gram").alias("_short"), F.col("p").alias("_p"))
-            joined = keyed.join(contexts, "context").withColumn("_short", F.col("gram").bitwiseAND(F.lit(_MASK[order - 1]))).join(below, "_short")
-            found = joined.select("gram", ((F.col("c") - F.col("d")) / F.col("total") + F.col("loss") / F.col("total") * F.col("_p")).alias("p"))
-            rows.append(contexts.select(F.lit("g"), F.lit(order), "context", F.log2(F.col("loss") / F.col("total"))))
+            below = shorter.select("fold", F.col("gram").alias("_short"), F.col("p").alias("_p"))
+            joined = keyed.join(contexts, ["fold", "context"]).withColumn("_short", F.col("gram").bitwiseAND(F.lit(_MASK[order - 1]))).join(below, ["fold", "_short"])
+            found = joined.select("fold", "gram", ((F.col("c") - F.col("d")) / F.col("total") + F.col("loss") / F.col("total") * F.col("_p")).alias("p"))
+            rows.append(contexts.select("fold", F.lit("g"), F.lit(order), "context", F.log2(F.col("loss") / F.col("total"))))
         shorter = kept(found, "kn-p")
-        rows.append(shorter.select(F.lit("p"), F.lit(order), "gram", F.log2("p")))
+        rows.append(shorter.select("fold", F.lit("p"), F.lit(order), "gram", F.log2("p")))
     return kept(reduce(DataFrame.union, rows), "kn-model")
 
 
@@ -168,9 +187,10 @@ def _scored(texts: list[str], tables: Tables, shards: int, shard: int) -> list[d
     return [{"bits": float(b), "n": int(n)} for b, n in zip(bits, counts, strict=True)]
 
 
-def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS, fold: int = WHOLE) -> DataFrame:
     """(doc_id, lang, bits, n): the documents' total -log2 probability and letters, one row for each row."""
     spark: SparkSession = docs.sparkSession
+    model = model.filter(F.col("fold") == fold)
     shards = blocks_for(model.count(), shard_rows)
     shard_of = _shard(F.col("key"), F.col("order"), F.col("kind"), shards)
 
@@ -192,6 +212,10 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
+def fold_of(doc_id: Column | str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)).cast("int")
+
+
 def _with_trusted(docs: DataFrame, trusted: DataFrame, how: str) -> DataFrame:
     few = trusted.count() <= MAX_SENT_LABELS
     return docs.join(F.broadcast(trusted) if few else trusted, "doc_id", how)
@@ -200,12 +224,15 @@ def _with_trusted(docs: DataFrame, trusted: DataFrame, how: str) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, lang, n_letters, perplexity, threshold, kept), one row for each row of the documents."""
     trusted = kept(trusted_ids(labels), "trusted")
-    model = train(_with_trusted(docs.select("doc_id", "text"), trusted, "left_semi"))
+    texts = _with_trusted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), trusted, "left_semi")
+    model = train(texts, fold=fold_of("doc_id"))
     none = F.lit(None).cast("double")
     if model is None:
         return docs.select("doc_id", "lang", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_letters"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
     scored = kept(score(docs, model, shard_rows).withColumn("_lang", F.coalesce("lang", F.lit(""))), "kn-scores")
-    marked = _with_trusted(scored.filter("n > 0"), trusted, "left_semi")
+    modelled = {r[0] for r in model.select("fold").distinct().collect()}
+    unseen = [score(texts.filter(fold_of("doc_id") == f), model, shard_rows, f if f in modelled else WHOLE) for f in range(FOLDS)]
+    marked = kept(reduce(DataFrame.union, unseen).filter("n > 0").withColumn("_lang", F.coalesce("lang", F.lit(""))), "kn-unseen")
     whole = marked.agg(F.sum("bits"), F.sum("n")).first()
     mean_all = (whole[0] or 0.0) / (whole[1] or 1)
     means = kept(marked.groupBy("_lang").agg((F.sum("bits") / F.sum("n")).alias("_mean")), "kn-means")
@@ -219,7 +246,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_
     limits = rated.groupBy("_lang").agg(cut.alias("_limit"))
     limit_all = rated.agg(cut).first()[0]
     out = salted_join(drawn(scored), limits, ["_lang"], F.struct("bits", "n"), "left")
-    limit = F.coalesce("_limit", F.lit(limit_all)) + MARGIN_BITS
+    limit = F.coalesce("_limit", F.lit(limit_all))
     return out.select(
         "doc_id", "lang", F.col("n").alias("n_letters"), F.when(F.col("n") > 0, F.round(F.pow(F.lit(2.0), F.col("bits") / F.col("n")), 4)).alias("perplexity"),
         F.round(F.pow(F.lit(2.0), limit), 4).alias("threshold"), ((F.col("n") == 0) | (F.col("_h") <= limit)).alias("kept"),

@@ -339,6 +339,25 @@ def test_language_model_verdicts(spark):
     assert language_model.judge(docs.limit(0), labels).count() == 0
 
 
+def test_threshold_is_a_quantile_of_unseen_documents(spark):
+    rng = random.Random(6)
+    rows = [(i, words(rng, rng.randint(20, 60), 300)) for i in range(40)] + [(500, "w1 " * 60)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    folds = {r[0]: r[1] for r in docs.select("doc_id", language_model.fold_of("doc_id")).collect()}
+    scored = []
+    for fold in range(language_model.FOLDS):
+        bits = brute_model([t for d, t in rows if d < 40 and folds[d] != fold])
+        scored += [(bits(t), len(t)) for d, t in rows if d < 40 and folds[d] == fold]
+    mean = sum(b for b, _ in scored) / sum(n for _, n in scored)
+    prior = language_model.PRIOR_LETTERS
+    drawn = sorted((b + prior * mean) / (n + prior) for b, n in scored)
+    got = {r["doc_id"]: r for r in language_model.judge(docs, labels, 0.9).collect()}
+    assert abs(got[0]["threshold"] - 2 ** drawn[35]) < 1e-3
+    lone = language_model.judge(docs, labels.filter("doc_id = 7")).filter("doc_id = 7").first()
+    assert lone["kept"]
+
+
 # pipeline
 
 def test_pipeline_stages(spark):
