@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of letter n-grams, trained on trusted texts.
 
-Letters are code points (those above 4031 fold into 64 classes); an n-gram of up to five is one 60-bit number, so its
-context is a shift and its shorter n-gram a mask. Counts are taken over all trusted texts and summed in shuffles by
+Letters are code points of 21 bits; an n-gram of up to five is two longs (three letters in the lower one), so its
+context is a shift and its shorter n-gram a mask; inside a task n-grams are told apart by a 64-bit hash of both. Counts are taken over all trusted texts and summed in shuffles by
 n-gram; continuation counts, context totals and discounts follow by aggregation, and every n-gram's probability by
 joins of the count tables on context and shorter n-gram, order by order.
 
@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 from pathloom.llm.common import SLICE_CHARS, arrow_column, blocks_for, in_slices, kept, salted_join, slices, small_batches, with_key
 
 ORDER = 5
-BITS = 12
-LETTERS = 1 << BITS
-FOLDED = 64
+BITS = 21
+IN_LONG = 3
 SHARD_ROWS = 4_000_000
 #: Labels sent to all executors at most; more are joined by a shuffle.
 MAX_SENT_LABELS = 1_000_000
@@ -44,39 +43,72 @@ FOLDS = 4
 WHOLE = -1
 PRIOR_LETTERS = 100
 
-_MASK = [(1 << (BITS * n)) - 1 for n in range(ORDER + 1)]
+_MASK = [(1 << (BITS * n)) - 1 for n in range(IN_LONG + 1)]
+_KEY = "struct<hi: bigint, lo: bigint>"
 _SUM = pa.struct([("bits", pa.float64()), ("n", pa.int64())])
 
 
 def letter_codes(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-    codes = np.where(codes >= LETTERS - FOLDED, LETTERS - FOLDED + codes % FOLDED, codes)
-    return np.maximum(codes, 1)  # 0 stands before the text
+    return np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.int64) + 1  # 0 stands before the text
 
 
 def text_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram of full order for every letter, text it is in)."""
+    """(n-gram of full order for every letter as a row of two longs, text it is in)."""
     codes = [letter_codes(t) for t in texts]
     before = np.zeros(ORDER - 1, np.int64)
     line = np.concatenate([x for c in codes for x in (before, c)]) if codes else before
     sizes = np.array([len(c) for c in codes], np.int64)
-    grams = np.zeros(len(line), np.int64)
+    grams = np.zeros((len(line), 2), np.int64)
     for back in range(ORDER):
-        grams[back:] |= line[: len(line) - back] << (BITS * back)
+        grams[back:, 1 - back // IN_LONG] |= line[: len(line) - back] << (BITS * (back % IN_LONG))
     starts = np.cumsum(sizes + ORDER - 1) - sizes
     places = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     return grams[places], np.repeat(np.arange(len(texts)), sizes)
 
 
+def _hashed(grams: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each n-gram, without collisions up to three letters."""
+    high, low = grams[:, 0].astype(np.uint64), grams[:, 1].astype(np.uint64)
+    mixed = high * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return low * np.uint64(0x94D049BB133111EB) + (mixed ^ (mixed >> np.uint64(32)))
+
+
+def _last(grams: np.ndarray, order: int) -> np.ndarray:
+    """The last letters of n-grams."""
+    out = grams.copy()
+    out[:, 0] &= _MASK[max(0, order - IN_LONG)]
+    out[:, 1] &= _MASK[min(order, IN_LONG)]
+    return out
+
+
+def _before(grams: np.ndarray) -> np.ndarray:
+    """The n-grams without their last letter."""
+    out = grams >> BITS
+    out[:, 1] |= (grams[:, 0] & _MASK[1]) << (BITS * (IN_LONG - 1))
+    return out
+
+
+def _last_of(gram: str, order: int) -> Column:
+    high, low = (F.col(f"{gram}.{x}").bitwiseAND(F.lit(_MASK[n]).cast("long")) for x, n in (("hi", max(0, order - IN_LONG)), ("lo", min(order, IN_LONG))))
+    return F.struct(high.alias("hi"), low.alias("lo"))
+
+
+def _before_of(gram: str) -> Column:
+    carried = F.shiftleft(F.col(f"{gram}.hi").bitwiseAND(F.lit(_MASK[1]).cast("long")), BITS * (IN_LONG - 1))
+    return F.struct(F.shiftright(f"{gram}.hi", BITS).alias("hi"), F.shiftright(f"{gram}.lo", BITS).bitwiseOR(carried).alias("lo"))
+
+
 def _counts(batches):
     for batch in batches:
         folds, at = batch.column(0).to_numpy(), 0
         for part, _ in slices([batch.column(1)], SLICE_CHARS):
             mine, at = folds[at : at + len(part)], at + len(part)
             for fold in np.unique(mine):
-                grams, counts = np.unique(text_grams([t for t, f in zip(part, mine, strict=True) if f == fold])[0], return_counts=True)
-                arrays = [pa.array(np.full(len(grams), fold, np.int32)), pa.array(grams, pa.int64()), pa.array(counts.astype(np.int64), pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, ["fold", "gram", "c"])
+                grams = text_grams([t for t, f in zip(part, mine, strict=True) if f == fold])[0]
+                _, places, counts = np.unique(_hashed(grams), return_index=True, return_counts=True)
+                found = [pa.array(np.full(len(places), fold, np.int32)), *(pa.array(grams[places, i], pa.int64()) for i in (0, 1)), pa.array(counts.astype(np.int64), pa.int64())]
+                yield pa.RecordBatch.from_arrays(found, ["fold", "hi", "lo", "c"])
 
 
 def _by_fold(values: dict[int, Column]) -> Column:
@@ -98,15 +130,15 @@ def train(texts: DataFrame, name: str = "text", fold: Column | None = None) -> D
     """The model as rows (fold, kind, order, key, value): kind p, log2 probability of an n-gram; kind g, log2 back-off of
     a context. With a column that deals texts into FOLDS folds, also the models without each fold."""
     small_batches()
-    counted = texts.select((F.lit(0) if fold is None else fold).cast("int").alias("fold"), F.coalesce(name, F.lit(""))).mapInArrow(_counts, "fold int, gram long, c long")
+    counted = texts.select((F.lit(0) if fold is None else fold).cast("int").alias("fold"), F.coalesce(name, F.lit(""))).mapInArrow(_counts, "fold int, hi long, lo long, c long")
     left_out = [F.sum(F.when(F.col("fold") != f, F.col("c")).otherwise(0)) for f in range(FOLDS if fold is not None else 0)]
     models = F.array(*(F.struct(F.lit(f).alias("fold"), c.alias("c")) for f, c in enumerate([F.sum("c"), *left_out], WHOLE)))
-    top = kept(counted.groupBy("gram").agg(models.alias("m")).select("gram", F.inline("m")).filter("c > 0"), "kn-counts")
+    top = kept(counted.groupBy("hi", "lo").agg(models.alias("m")).select(F.struct("hi", "lo").alias("gram"), F.inline("m")).filter("c > 0"), "kn-counts")
     tables = {ORDER: top}
     for order in range(ORDER - 1, 0, -1):
         # in how many ways an n-gram is continued to the left
         above = tables[order + 1]
-        tables[order] = kept(above.groupBy("fold", F.col("gram").bitwiseAND(F.lit(_MASK[order])).alias("gram")).agg(F.count("*").alias("c")), "kn-counts")
+        tables[order] = kept(above.groupBy("fold", _last_of("gram", order).alias("gram")).agg(F.count("*").alias("c")), "kn-counts")
     symbols = dict(tables[1].groupBy("fold").count().collect())
     if not symbols:
         return None
@@ -115,17 +147,17 @@ def train(texts: DataFrame, name: str = "text", fold: Column | None = None) -> D
     for order in range(1, ORDER + 1):
         table = tables[order]
         taken = _by_fold({f: F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3) for f, (d1, d2, d3) in _discounts(table).items()})
-        keyed = table.withColumn("context", F.shiftright("gram", BITS)).withColumn("d", taken)
+        keyed = table.withColumn("context", _before_of("gram")).withColumn("d", taken)
         contexts = keyed.groupBy("fold", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("loss"))
         if order == 1:
             sums = {r["fold"]: r for r in contexts.collect()}  # one row a fold
             unseen = {f: r["loss"] / r["total"] / (symbols[f] + 1) for f, r in sums.items()}
             found = table.select("fold", "gram", _by_fold({f: (F.col("c") - taken) / r["total"] + unseen[f] for f, r in sums.items()}).alias("p"))
-            zero = [(f, "p", 0, 0, float(np.log2(u))) for f, u in unseen.items()]
-            rows.append(texts.sparkSession.createDataFrame(zero, "fold int, kind string, order int, key long, value double"))
+            zero = [(f, "p", 0, (0, 0), float(np.log2(u))) for f, u in unseen.items()]
+            rows.append(texts.sparkSession.createDataFrame(zero, f"fold int, kind string, order int, key {_KEY}, value double"))
         else:
             below = shorter.select("fold", F.col("gram").alias("_short"), F.col("p").alias("_p"))
-            joined = keyed.join(contexts, ["fold", "context"]).withColumn("_short", F.col("gram").bitwiseAND(F.lit(_MASK[order - 1]))).join(below, ["fold", "_short"])
+            joined = keyed.join(contexts, ["fold", "context"]).withColumn("_short", _last_of("gram", order - 1)).join(below, ["fold", "_short"])
             found = joined.select("fold", "gram", ((F.col("c") - F.col("d")) / F.col("total") + F.col("loss") / F.col("total") * F.col("_p")).alias("p"))
             rows.append(contexts.select("fold", F.lit("g"), F.lit(order), "context", F.log2(F.col("loss") / F.col("total"))))
         shorter = kept(found, "kn-p")
@@ -135,7 +167,7 @@ def train(texts: DataFrame, name: str = "text", fold: Column | None = None) -> D
 
 def _shard(key: Column, order: Column, kind: Column, shards: int) -> Column:
     """Shard of an entry: its context's last two letters; -1 for short ones, which every shard has."""
-    pair = F.when(kind == "p", F.shiftright(key, BITS)).otherwise(key).bitwiseAND(F.lit(_MASK[2]))
+    pair = F.when(kind == "p", _before_of("key")["lo"]).otherwise(key["lo"]).bitwiseAND(F.lit(_MASK[2]))
     return F.when(order >= 3, pair % shards).otherwise(-1)
 
 
@@ -144,7 +176,9 @@ class Tables:
 
     def __init__(self, rows: pa.Table) -> None:
         kinds = np.asarray(rows.column("kind").to_pylist(), object) == "p"
-        orders, keys, values = (rows.column(c).to_numpy() for c in ("order", "key", "value"))
+        orders, values = (rows.column(c).to_numpy() for c in ("order", "value"))
+        high, low = rows.column("key").combine_chunks().flatten()
+        keys = _hashed(np.stack([high.to_numpy(), low.to_numpy()], 1))
         self.tables = {}
         for kind in (True, False):
             for order in range(ORDER + 1):
@@ -166,12 +200,12 @@ class Tables:
         out = np.zeros(len(grams))
         left = np.arange(len(grams))
         for order in range(ORDER, 0, -1):
-            keys = grams[left] & _MASK[order]
-            found, value = self.look(True, order, keys)
+            keys = _last(grams[left], order)
+            found, value = self.look(True, order, _hashed(keys))
             out[left[found]] += value[found]
             left, keys = left[~found], keys[~found]
             if order > 1:
-                out[left] += self.look(False, order, keys >> BITS)[1]
+                out[left] += self.look(False, order, _hashed(_before(keys)))[1]
         out[left] += self.tables[True, 0][1][0]
         return -out
 
@@ -179,10 +213,10 @@ class Tables:
 def _scored(texts: list[str], tables: Tables, shards: int, shard: int) -> list[dict]:
     grams, owner = text_grams(texts)
     if shards > 1:
-        mine = (grams >> BITS & _MASK[2]) % shards == shard
+        mine = (_before(grams)[:, 1] & _MASK[2]) % shards == shard
         grams, owner = grams[mine], owner[mine]
-    distinct, back = np.unique(grams, return_inverse=True)
-    bits = np.bincount(owner, tables.bits(distinct)[back], len(texts)) if len(grams) else np.zeros(len(texts))
+    _, places, back = np.unique(_hashed(grams), return_index=True, return_inverse=True)
+    bits = np.bincount(owner, tables.bits(grams[places])[back], len(texts)) if len(grams) else np.zeros(len(texts))
     counts = np.bincount(owner, minlength=len(texts))
     return [{"bits": float(b), "n": int(n)} for b, n in zip(bits, counts, strict=True)]
 

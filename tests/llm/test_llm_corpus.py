@@ -339,6 +339,16 @@ def test_language_model_verdicts(spark):
     assert language_model.judge(docs.limit(0), labels).count() == 0
 
 
+def test_letters_of_any_script_are_told_apart(spark):
+    texts = ["的一是不了人我在有他", "가나다라마바사아자차", "“a”—b…🙂", "\x00\x01"]
+    twins = ["".join(chr(ord(x) + 64) for x in t) for t in texts]
+    model = language_model.train(frame(spark, enumerate(texts)))
+    bits = brute_model(texts)
+    got = {r["doc_id"]: r["bits"] for r in language_model.score(frame(spark, enumerate(texts + twins)), model).collect()}
+    assert all(abs(got[i] - bits(t)) < 1e-6 for i, t in enumerate(texts + twins))
+    assert all(got[i + 4] > got[i] + 1 for i in range(3))
+
+
 def test_threshold_is_a_quantile_of_unseen_documents(spark):
     rng = random.Random(6)
     rows = [(i, words(rng, rng.randint(20, 60), 300)) for i in range(40)] + [(500, "w1 " * 60)]
