@@ -10,6 +10,7 @@ import ctypes
 import math
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +50,31 @@ def small_batches() -> None:
         conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
+@contextmanager
+def ends_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside leave no shuffle files behind: Spark removes them when the write is done, not when the
+    driver happens to collect its garbage. The session's setting is put back at the end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def arrow_rows(frame: DataFrame, function: Callable[[Iterator], Iterator], schema: str, cache: str | None = None) -> DataFrame:
+    """Rows made from Arrow batches by a function on iterators."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release(cache)
+        yield from function(batches)
+        _release(cache)
+
+    small_batches()
+    return frame.mapInArrow(run, schema)
+
+
 #: What workers remember between tasks, by name; a worker that turns to other work forgets it.
 CACHES: dict[str, dict] = {}
 #: Called by a worker that turns to other work than any of the names.

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontaminate, encoding, language_model, line_dedup, near_dedup, quality_rules, token_count, token_files, toxicity, url_filter
+from pathloom.llm import decontaminate, divergence, encoding, language_model, line_dedup, near_dedup, quality_rules, token_count, token_files, toxicity, url_filter
 from pathloom.llm.common import shared_folder, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -71,6 +71,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_source_divergence": op11_source_divergence,
     "pipeline": pipeline,
 }
 
@@ -134,4 +139,39 @@ SELECT d.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
 FROM documents d LEFT JOIN left_over o USING (doc_id)
 """
 
-ORACLES = {"op2_line_dedup": OP2_SQL, "op1_decontamination": OP1_SQL}
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (
+  SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n, count(DISTINCT id) AS df
+  FROM (SELECT lang, source, id, unnest(w) AS term FROM d) GROUP BY lang, source, term),
+k AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS total FROM c GROUP BY lang, term HAVING sum(df) >= 3),
+l AS (SELECT lang, count(*) AS v, CAST(sum(total) AS HUGEINT) AS lang_n FROM k GROUP BY lang),
+e AS (SELECT lang, source, term, n, total FROM c JOIN k USING (lang, term)),
+g AS (
+  SELECT lang, source, CAST(coalesce(group_n, 0) AS HUGEINT) AS group_n, coalesce(v, 0) AS v, coalesce(lang_n, 0) AS lang_n
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS group_n FROM e GROUP BY lang, source) USING (lang, source)
+  LEFT JOIN l USING (lang)),
+f AS (
+  SELECT k.lang, g.source, k.term, 1 + 1000000000 * (coalesce(e.n, 0) + 1) // (group_n + v) AS p
+  FROM k JOIN g USING (lang) LEFT JOIN e ON e.lang = k.lang AND e.source = g.source AND e.term = k.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+shares AS (
+  SELECT lang, source, term AS item, 1 + 1000000000 * (n + 1) // (group_n + v) AS p, 1 + 1000000000 * (total + 1) // (lang_n + v) AS q
+  FROM e JOIN g USING (lang, source)),
+terms AS (SELECT lang, source, 'term' AS part, item, (p - q) * (p - q) // q AS value FROM shares WHERE p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
+ORACLES = {"op11_source_divergence": OP11_SQL, "op2_line_dedup": OP2_SQL, "op1_decontamination": OP1_SQL}
