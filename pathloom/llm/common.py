@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import math
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -39,7 +40,21 @@ def kept(frame: DataFrame, name: str) -> DataFrame:
     """A frame written to the shared folder and read back: computed once, safe when executors are lost."""
     path = shared_folder(frame.sparkSession, name)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    table = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    _KEPT_AT[id(table)] = (weakref.ref(table), path)
+    return table
+
+
+_KEPT_AT: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete a kept table that nothing reads any more."""
+    found, path = _KEPT_AT.pop(id(table))
+    if found() is not table:
+        raise ValueError("not a kept table")
+    folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def small_batches() -> None:

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontaminate, divergence, encoding, language_model, line_dedup, near_dedup, quality_rules, token_count, token_files, toxicity, url_filter
+from pathloom.llm import decontaminate, divergence, encoding, language_model, line_dedup, near_dedup, quality_rules, suffix_dedup, token_count, token_files, toxicity, url_filter
 from pathloom.llm.common import shared_folder, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -75,6 +75,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -91,6 +96,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_source_divergence": op11_source_divergence,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "pipeline": pipeline,
 }
 
