@@ -7,11 +7,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontaminate, divergence, encoding, language_model, line_dedup, near_dedup, quality_rules, suffix_dedup, token_count, token_files, toxicity, url_filter
+from pathloom.llm import alignment, decontaminate, divergence, encoding, language_model, line_dedup, near_dedup, quality_rules, suffix_dedup, token_count, token_files, toxicity, url_filter
 from pathloom.llm.common import shared_folder, table
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 END_ID = 1
 
 
@@ -80,6 +81,10 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -97,6 +102,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_source_divergence": op11_source_divergence,
     "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_token_alignment": op13_token_alignment,
     "pipeline": pipeline,
 }
 
