@@ -117,6 +117,134 @@ def test_time_dependent_costs_match_label_setting(spark):
             assert found[one[0]].sun_s == pytest.approx(expected[1], abs=1e-6)
 
 
+def walk_from(edges, source, speed=1.35):
+    """Least (duration, distance) from the middle of a node to every node, walking."""
+    import heapq
+
+    best, heap = {}, [(0.0, source, "center")]
+    while heap:
+        metres, node, side = heapq.heappop(heap)
+        if (node, side) in best:
+            continue
+        best[node, side] = metres
+        for e in edges:
+            if e[1] != node or (e[6] and e[7] == "low"):
+                continue
+            if e[4] and not e[6] and side in ("left", "right") and side != e[4]:
+                continue
+            heapq.heappush(heap, (metres + e[3], e[2], "center" if e[6] else e[4] or side))
+    out = {}
+    for (node, _), metres in best.items():
+        out[node] = min(out.get(node, math.inf), metres)
+    return {node: (metres / speed, metres) for node, metres in out.items()}
+
+
+def test_egress_by_search_back_from_destinations(spark):
+    """Itineraries are those of all walks between stops and nodes, with walks to the asked destinations only."""
+    from pathloom import constants as K
+    from pathloom.plans.transit import egress_search
+
+    rng = random.Random(21)
+    edges = [
+        edge(i, rng.randrange(30), rng.randrange(30), rng.uniform(300, 5000), rng.choice([None, None, "left", "right"]),
+             rng.choice([None, None, None, "marked"]), rng.choice(["high", "high", "low"]))
+        for i in range(70)
+    ]
+    stops = list(range(0, 30, 3))
+    all_walks = [("walk", a, b, *v) for a in range(30) for b, v in walk_from(edges, a).items()]
+    walks = spark.createDataFrame(all_walks, "access_mode string, from_node long, to_node long, duration_s double, distance_m double")
+    trips = spark.createDataFrame([(i, i, 19800.0 + 70 * i, 600.0 + 60 * i, []) for i in range(6)], "trip_id long, trip_no long, first_s double, headway_s double, allowed array<string>")
+    ride = [(i, k, rng.choice(stops), 200.0 * k, 200.0 * k + 20) for i in range(6) for k in range(4)]
+    times = spark.createDataFrame(ride, "trip_id long, stop_seq int, stop_id long, arr_off_s double, dep_off_s double")
+    asked = [(i, rng.randrange(30), rng.randrange(30) if i % 9 else 99, "walk", "none", 25000.0 + 61 * i) for i in range(40)]
+    requests = spark.createDataFrame(asked, "request_id long, origin long, destination long, access_mode string, vehicle string, depart_s double")
+    search_back = egress_search(spark.createDataFrame(edges, EDGE), spark.createDataFrame([(x,) for x in stops], "stop_id long"))
+    seen = []
+
+    def watched(destinations, radius):
+        found = search_back(destinations, radius)
+        seen.append((radius, {r.destination for r in destinations.collect()}, found.collect()))
+        return found
+
+    near = walks.filter(c("to_node").isin(stops))
+    want = S.plan(requests, walks, trips, times)
+    got = S.plan(requests, near, trips, times, egress=watched)
+    columns = ("request_id", "rank", "stop_id", "n_rides", F.round("final_s", 3).alias("final_s"))
+    assert sorted(got.select(*columns).collect()) == sorted(want.select(*columns).collect())
+    assert seen[0][0] == K.MAX_ACCESS_M and len(seen) > 1 and seen[-1][1] < seen[0][1]
+    for radius, destinations, found in seen:
+        pairs = {(r.from_node, r.to_node): r.distance_m for r in found}
+        true = {(a, b): v[1] for _, a, b, *v in all_walks if b in destinations and (a in stops or a == b) and v[1] <= radius}
+        assert pairs.keys() - {(99, 99)} == true.keys() and all(pairs[k] == pytest.approx(true[k]) for k in true)
+
+
+PLACED = EDGE + ", lat1 double, lon1 double, lat2 double, lon2 double"
+
+
+def grid_edges(side, seed):
+    """A street grid with bent lengths, one-sided streets and crossings."""
+    rng = random.Random(seed)
+    at = {(x, y): (32.0 + y * 0.001 + rng.uniform(-2e-4, 2e-4), 34.7 + x * 0.001 + rng.uniform(-2e-4, 2e-4)) for x in range(side) for y in range(side)}
+    out = []
+    for (x, y), a in at.items():
+        for other in ((x + 1, y), (x, y + 1)):
+            if other in at:
+                b = at[other]
+                metres = math.hypot((a[0] - b[0]) * 111_195, (a[1] - b[1]) * 111_195 * math.cos(math.radians(32.05))) * rng.uniform(1.05, 1.3)
+                for n, (u, v, p, q) in enumerate((((x, y), other, a, b), (other, (x, y), b, a))):
+                    base = edge(len(out), u[0] * side + u[1], v[0] * side + v[1], metres, rng.choice([None, None, None, "left", "right"]),
+                                rng.choice([None, "marked"]), "high", [rng.random() for _ in range(6)])
+                    out.append((*base, *p, *q))
+    return out
+
+
+def flood(edges, one):
+    """(cost, settled labels) of a label-setting search without any bound."""
+    import heapq
+
+    _, source, goal, _, _, departure, _, *_, factor = one
+    after, best, heap = {}, {}, [(0.0, source, "center", 0.0)]
+    for e in edges:
+        after.setdefault(e[1], []).append(e)
+    while heap:
+        cost, node, side, elapsed = heapq.heappop(heap)
+        if (node, side) in best:
+            continue
+        best[node, side] = cost
+        if node == goal:
+            return cost, len(best)
+        for e in after.get(node, ()):
+            if not e[6] and e[4] and side in ("left", "right") and side != e[4]:
+                continue
+            at = (departure + elapsed) % 86400 / 86400 * 6
+            left = math.floor(at) % 6
+            shade = e[10][left] * (1 - (at - math.floor(at))) + e[10][(left + 1) % 6] * (at - math.floor(at))
+            heapq.heappush(heap, (cost + e[3] + factor * e[3] * (1 - shade), e[2], "center" if e[6] else e[4] or side, elapsed + e[3]))
+    return None, len(best)
+
+
+@pytest.mark.parametrize("with_landmarks", [False, True])
+def test_goal_directed_search_settles_less(spark, monkeypatch, with_landmarks):
+    """Costs of plain label-setting, also where costs depend on the time; fewer labels, and spread over tasks."""
+    monkeypatch.setattr(P, "GUIDE_FROM", 100)
+    side = 14
+    rows = grid_edges(side, 5)
+    edges = spark.createDataFrame(rows, PLACED)
+    ends = [(side * 6 + 5, side * 9 + 8), (side * 3 + 9, side * 11 + 9), (side * 7 + 7, side * 7 + 11)]
+    searches = [search(i, *ends[i % 3], factor=0.0 if i < 3 else 1.5, departure=i * 9000.0) for i in range(6)]
+    table = spark.createDataFrame(searches, SEARCH)
+    marks = P.landmark_distances(edges) if with_landmarks else None
+    labels = P.least_cost_labels(table, edges, P.shade_cost, guide=P.sunny_cost, landmarks=marks)
+    found = {r.search_id: r.cost for r in P.reached_goals(labels, table).collect()}
+    settled = {r.search_id: r.n for r in P.settled_per_search(labels).collect()}
+    for one in searches:
+        cost, n = flood(rows, one)
+        assert found[one[0]] == pytest.approx(cost, abs=1e-6)
+        assert settled[one[0]] <= n
+        if one[0] < 3:  # costs that don't change with time
+            assert settled[one[0]] <= n / 2
+
+
 def test_schedule_search(spark):
     """The small schedule: a folding bike rides both trips, a full-size one none; arrival targets are met."""
     trips = spark.createDataFrame(
@@ -285,33 +413,6 @@ def test_trackers(spark):
     assert middle.distance_m < 2 and not middle.off_route and middle.fraction > 0 and middle.remaining_m < 1500
 
 
-def test_streaming_progress_equals_batch(spark):
-    rng = random.Random(1)
-    rows = [
-        (trip, 100 * trip + i, i, 32.05 + i * 0.001 + rng.gauss(0, 1e-4), 34.75 + (0.01 if rng.random() < 0.3 else 0), 10.0, None, None)
-        for trip in (1, 2, 3) for i in range(19)
-    ]
-    schema = "trip_id long, fix_id long, ts_us long, lat double, lon double, accuracy_m double, heading double, speed double"
-    fixes = spark.createDataFrame(rows, schema)
-    vertices = spark.createDataFrame([(t, i, 32.05 + i * 0.001, 34.75) for t in (1, 2, 3) for i in range(20)], "trip_id long, idx long, lat double, lon double")
-    routes = vertices.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("idx", "lat", "lon"))).alias("v")).select(
-        "trip_id", F.transform("v", lambda v: v["lat"]).alias("lats"), F.transform("v", lambda v: v["lon"]).alias("lons")
-    )
-    with tempfile.TemporaryDirectory() as directory:
-        timed = fixes.withColumn("ts", F.timestamp_seconds(1_704_067_200 + c("ts_us") * 5))
-        for low, high in ((0, 7), (7, 13), (13, 19)):
-            timed.filter((c("ts_us") >= low) & (c("ts_us") < high)).coalesce(1).write.mode("append").parquet(f"{directory}/in")
-        stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(f"{directory}/in")
-        run = (
-            T.follow_stream(stream, routes, "progress").writeStream.format("memory").queryName("progress").outputMode("append")
-            .option("checkpointLocation", f"{directory}/cp").trigger(availableNow=True).start()
-        )
-        run.awaitTermination(120)
-        got = {r.fix_id: tuple(r)[2:] for r in spark.table("progress").collect()}
-    expected = {r.fix_id: tuple(r)[2:] for r in T.follow(fixes, vertices, "progress").collect()}
-    assert got == expected
-
-
 def test_streaming_status_and_requests(spark):
     rows = [(1, 7, i, i * 10, 32.0, 34.0, True) for i in range(5)]
     frame = spark.createDataFrame(rows, "provider long, vehicle_id long, observation_id long, s long, lat double, lon double, available boolean")
@@ -334,6 +435,21 @@ def test_spaced_alerts(spark):
     assert sorted(r.id for r in kept) == [0, 9, 30, 61]
 
 
+def test_spacing_by_pointers_equals_a_scan(spark, monkeypatch):
+    monkeypatch.setattr(T, "SPAN_GAPS", 3)
+    rng = random.Random(13)
+    rows = [(k, int(rng.choice([rng.uniform(0, 5000), rng.gauss(900, 40)]) * 1e6), i) for i, k in enumerate(rng.choices("aaab", k=1500))]
+    rows += [("c", 7, 1), ("c", 7, 0), ("d", 0, 5)] + rows[:20]
+    want, until = [], {}
+    for key, at, ident in sorted(rows):
+        if key not in until or at >= until[key]:
+            until[key] = at + 30_000_000
+            want.append((key, at, ident))
+    got = T.spaced(spark.createDataFrame(rows, "key string, at_us long, id long"), 30)
+    assert sorted(map(tuple, got.collect())) == want
+    assert T.spaced(got.limit(0), 30).count() == 0
+
+
 def test_session_replay_is_chunk_independent(spark):
     rng = random.Random(2)
     rows = [(trip, i, i, rng.choice(E.EVENTS + ("UNLISTED",))) for trip in range(5) for i in range(60)]
