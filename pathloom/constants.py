@@ -120,3 +120,6 @@ NAVIGATION_TRANSITIONS = {
         "DESTINATION_SELECTED": "idle",
     },
 }
+
+# fixed values: age at which a shared vehicle's status counts as stale
+STALE_S = 120

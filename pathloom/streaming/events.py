@@ -17,7 +17,7 @@ def latest_status(observations: DataFrame) -> DataFrame:
     return newest.select("provider", "vehicle_id", "_r.*")
 
 
-def with_stale(status: DataFrame, as_of: Column, seconds: int = 120) -> DataFrame:
+def with_stale(status: DataFrame, as_of: Column, seconds: int = K.STALE_S) -> DataFrame:
     return status.withColumn("stale", c("observed_at") < as_of - F.expr(f"INTERVAL {seconds} SECONDS"))
 
 

@@ -12,13 +12,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom import constants as K
-from pathloom.operators.rounds import stage_width
+from pathloom.operators.rounds import RoundState, stage_width
 
 c = F.col
+#: Length of a chunk of time in gaps, when rows are spaced.
+SPAN_GAPS = 64
 
 
 def _metres(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
@@ -46,11 +48,21 @@ class Matcher:
     """Most likely vertex for the newest of the last few fixes (a Viterbi pass over nearby vertices)."""
 
     FIELDS = "geometry_index long, distance_m double, confidence double, off_route boolean"
+    #: What is kept between fixes; ``fixes`` holds the numbers of the last few, one after the other.
+    STATE = "last_index int, streak int, fixes array<double>"
 
     def __init__(self, route: Route, window: int = 5) -> None:
         self.route, self.last_index, self.streak = route, 0, 0
         self.fixes: deque[tuple[float, float, float, float | None, float | None]] = deque(maxlen=window)
 
+    def saved(self) -> tuple:
+        return self.last_index, self.streak, [x for fix in self.fixes for x in fix]
+
+    def restore(self, state: tuple) -> None:
+        self.last_index, self.streak, numbers = state
+        self.fixes.clear()
+        self.fixes.extend(tuple(numbers[i : i + 5]) for i in range(0, len(numbers), 5))
+
     def _emission(self, fix: tuple, at: np.ndarray) -> np.ndarray:
         lat, lon, accuracy, heading, _ = fix
         sigma = max(5.0, accuracy)
@@ -91,9 +103,17 @@ class Progress:
         "geometry_index long, distance_m double, remaining_m double, fraction double, off_route boolean, arrived boolean"
     )
 
+    STATE = "segment int, progress double, streak int"
+
     def __init__(self, route: Route) -> None:
         self.route, self.segment, self.progress, self.streak = route, 0, 0.0, 0
 
+    def saved(self) -> tuple:
+        return self.segment, self.progress, self.streak
+
+    def restore(self, state: tuple) -> None:
+        self.segment, self.progress, self.streak = state
+
     def update(self, fix: tuple) -> tuple[int, float, float, float, bool, bool]:
         lat, lon, accuracy, heading, _ = fix
         r = self.route
@@ -176,57 +196,47 @@ def follow(fixes: DataFrame, vertices: DataFrame, kind: str) -> DataFrame:
     return ordered.mapInPandas(_follow(kind), f"trip_id long, fix_id long, {TRACKERS[kind].FIELDS}")
 
 
-def _spaced(seconds: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, until = None, 0.0
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for i, (k, at) in enumerate(zip(batch["key"].to_numpy(), batch["at_us"].to_numpy())):
-                if k != key or at >= until:
-                    key, until, keep[i] = k, at + seconds * 1e6, True
-            yield batch[keep]
-
-    return stream
-
-
 def spaced(rows: DataFrame, seconds: float) -> DataFrame:
-    """First row per ``key`` and then the next one at least ``seconds`` after the last kept one (key, at_us, id)."""
-    ordered = rows.select("key", "at_us", "id").repartition(stage_width(rows.sparkSession), "key").sortWithinPartitions("key", "at_us", "id")
-    return ordered.mapInPandas(_spaced(seconds), rows.select("key", "at_us", "id").schema)
-
-
-# -- structured streaming ---------------------------------------------------------------------------------------
-def follow_stream(fixes: DataFrame, routes: DataFrame, kind: str, timeout: str = "30 minutes") -> DataFrame:
-    """Tracker over a stream of fixes (with event time ``ts``); ``routes`` is a table (trip_id, lats, lons).
+    """First row per ``key`` and then the next one at least ``seconds`` after the last kept one (key, at_us, id).
 
-    State per trip is the tracker itself; it is dropped after ``timeout`` of event time without a fix, so traces are
-    not kept. Fixes of a micro-batch are put in time order before they are applied.
+    Rows point at the first row of their key that is far enough behind them; what is kept is the chain from the first
+    row on. The pointers come from a scan of chunks of time, with each chunk's first row carried to the chunks before,
+    so a hot key is spread over its chunks. The chain is marked by doubling: pointers over 1, 2, 4, ... rows, and after
+    each round the marked rows and those they point at. Rows of a key at one instant are one, the least id.
     """
-    import pickle
-
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    names = [f.split()[0] for f in TRACKERS[kind].FIELDS.split(",")]
-    minutes = int(timeout.split()[0])
-
-    def apply(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tracker = pickle.loads(state.get[0]) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "fix_id"])
-        out = []
-        for row in rows.itertuples(index=False):
-            if tracker is None:
-                tracker = TRACKERS[kind](Route(np.array(row.lats), np.array(row.lons)))
-            fix = (row.lat, row.lon, row.accuracy_m, _number(row.heading), _number(row.speed))
-            out.append((key[0], row.fix_id, *tracker.update(fix)))
-        state.update((pickle.dumps(tracker),))
-        latest = int(rows["ts"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + minutes * 60_000)
-        yield pd.DataFrame(out, columns=["trip_id", "fix_id", *names])
-
-    joined = fixes.withWatermark("ts", "10 minutes").join(routes, "trip_id")
-    return joined.groupBy("trip_id").applyInPandasWithState(
-        apply, f"trip_id long, fix_id long, {TRACKERS[kind].FIELDS}", "tracker binary", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    gap = int(seconds * 1e6)
+    state = RoundState(rows.sparkSession, "spaced")
+    single = state.keep(rows.groupBy("key", "at_us").agg(F.min("id").alias("id")), "rows")
+    marked = state.keep(single.groupBy("key").agg(F.min(F.struct("at_us", "id")).alias("_f")).select("key", "_f.*"), "firsts")
+    jumps = state.keep(_next_eligible(single, gap), "jump-0")
+    # what nothing points at can only be a first row
+    entries = jumps.select("key", c("to_us").alias("at_us")).union(marked.select("key", "at_us")).distinct()
+    jumps = state.keep(jumps.join(entries, ["key", "at_us"]), "jumps-0")
+    number = 0
+    while True:
+        number += 1
+        ahead = marked.join(jumps, ["key", "at_us"]).select("key", c("to_us").alias("at_us"), c("to_id").alias("id"))
+        if ahead.isEmpty():
+            return marked
+        marked = state.keep(marked.union(ahead), f"marked-{number}")
+        further = jumps.select("key", c("at_us").alias("to_us"), c("to_us").alias("_us"), c("to_id").alias("_id"))
+        doubled = jumps.drop("to_id").join(further, ["key", "to_us"]).select("key", "at_us", c("_us").alias("to_us"), c("_id").alias("to_id"))
+        jumps = state.keep(doubled, f"jumps-{number}")
+
+
+def _next_eligible(rows: DataFrame, gap: int) -> DataFrame:
+    """(key, at_us, to_us, to_id): the first row at least ``gap`` after each row, for rows that have one."""
+    span = max(gap, 1) * SPAN_GAPS
+    none = F.lit(None).cast("long")
+    asked = rows.select("key", (c("at_us") + gap).alias("_at"), F.lit(0).alias("_row"), "at_us", none.alias("id"))
+    seen = rows.select("key", c("at_us").alias("_at"), F.lit(1).alias("_row"), "at_us", "id")
+    both = asked.union(seen).withColumn("_chunk", F.floor(c("_at") / span))
+    # behind a question comes the row that stands at the same instant or next
+    back = Window.partitionBy("key", "_chunk").orderBy(c("_at").desc(), c("_row").desc())
+    inside = F.last(F.when(c("_row") == 1, F.struct("at_us", "id")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    heads = both.groupBy("key", "_chunk").agg(F.min(F.when(c("_row") == 1, F.struct("at_us", "id"))).alias("_head"))
+    after = Window.partitionBy("key").orderBy(c("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("key", "_chunk", F.last("_head", ignorenulls=True).over(after).alias("_after"))
+    found = both.withColumn("_inside", inside).filter(c("_row") == 0).join(heads, ["key", "_chunk"])
+    to = F.coalesce("_inside", "_after")
+    return found.select("key", "at_us", to["at_us"].alias("to_us"), to["id"].alias("to_id")).filter(c("to_us").isNotNull())
