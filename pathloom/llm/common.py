@@ -195,12 +195,6 @@ def word_parts(text: str) -> Iterator[list[bytes]]:
     yield data[start:].split()
 
 
-def rows_within(frame: DataFrame, limit: int) -> tuple[int, bool]:
-    """(rows, whether there are at most so many): the check before a broadcast."""
-    rows = frame.count()
-    return rows, rows <= limit
-
-
 def blocks_for(size: int, limit: int) -> int:
     return max(1, math.ceil(size / limit))
 
@@ -220,6 +214,12 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: Column
     return many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
+def rows_held(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): documents with all their columns held together, so that no name clashes with an operator's."""
+    names = [F.col(f"`{name}`") for name in docs.columns]
+    return docs.select("doc_id", "text", F.struct(*names).alias("row"))
+
+
 def with_key(frame: DataFrame) -> DataFrame:
     """The frame with `_doc` and `_text` added."""
     return frame.withColumns(dict(zip(("_doc", "_text"), document_key(), strict=True)))

@@ -6,8 +6,10 @@ can end there, pairs that end a pattern lead to a bucket of patterns, and patter
 words are compared word by word. Texts stay where they are read; only the tables travel, and only within a bound: a
 larger benchmark is searched in blocks of items, one pass each.
 
-Defined results: a null or empty text has no words and no hits; items without words are never found; repeated items
-each count; repeated rows each get their result; extra columns of either table are left aside.
+Item ids are strings, in the order of their bytes. Defined results: a null or empty text has no words and no hits; items
+without words are never found; repeated items each count, rows with one id once; all rows without an id are one item,
+which comes last and has no name; repeated documents each get their result; extra columns of the items are left aside,
+those of the documents are left aside or, where documents are returned, kept.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_column, ascii_words, blocks_for, document_key, kept, per_text, word_parts
+from pathloom.llm.common import arrow_column, ascii_words, blocks_for, document_key, kept, per_text, rows_held, word_parts
 
 WINDOW = 10
 BLOCK = 2
@@ -27,8 +29,9 @@ BLOCK = 2
 MAX_ITEM_BYTES = 16 << 20
 
 _SPAN = pa.struct([("first", pa.int64()), ("last", pa.int64())])
-_FOUND = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(_SPAN))])
-_FOUND_SQL = "struct<n_words: bigint, items: array<bigint>, spans: array<struct<first: bigint, last: bigint>>>"
+_FOUND = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(_SPAN))])
+_SPANS_SQL = "array<struct<first: bigint, last: bigint>>"
+_FOUND_SQL = "struct<n_words: bigint, items: array<string>, spans: array<struct<first: bigint, last: bigint>>>"
 
 
 def item_windows(words: list[bytes], window: int = WINDOW) -> list[tuple[bytes, ...]]:
@@ -41,7 +44,7 @@ def item_windows(words: list[bytes], window: int = WINDOW) -> list[tuple[bytes,
 class WuManber:
     """Search for all patterns of one length."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[int]], length: int, block: int = BLOCK) -> None:
+    def __init__(self, patterns: dict[tuple[bytes, ...], list[str | None]], length: int, block: int = BLOCK) -> None:
         self.length = length
         self.block = min(block, length)
         self.far = length - self.block + 1
@@ -71,8 +74,8 @@ class WuManber:
             end += 1
 
 
-def search_tables(items: list[tuple[int, str]], window: int = WINDOW) -> list[WuManber]:
-    patterns: dict[int, dict[tuple[bytes, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
+def search_tables(items: list[tuple[str | None, str]], window: int = WINDOW) -> list[WuManber]:
+    patterns: dict[int, dict[tuple[bytes, ...], list[str | None]]] = defaultdict(lambda: defaultdict(list))
     for item, text in items:
         for pattern in set(item_windows(ascii_words(text or ""), window)):
             patterns[len(pattern)][pattern].append(item)
@@ -81,7 +84,7 @@ def search_tables(items: list[tuple[int, str]], window: int = WINDOW) -> list[Wu
 
 def search_text(text: str, tables: list[WuManber]) -> dict:
     """Number of words, items found and the word ranges they cover."""
-    items: set[int] = set()
+    items: set[str | None] = set()
     spans: list[tuple[int, int]] = []
     overlap = max((t.length for t in tables), default=1) - 1
     before: list[bytes] = []
@@ -97,7 +100,7 @@ def search_text(text: str, tables: list[WuManber]) -> dict:
                 spans.append((base + skip + start, base + skip + start + search.length))
         passed += len(part)
         before = words[max(0, len(words) - overlap) :] if overlap else []
-    return {"n_words": passed, "items": sorted(items), "spans": merge_spans(spans)}
+    return {"n_words": passed, "items": sorted(items, key=lambda i: (i is None, i)), "spans": merge_spans(spans)}
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[dict]:
@@ -113,10 +116,10 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[dict]:
 def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """The documents with a column `_found`: n_words, items (sorted ids) and spans [first, last) of hit words.
 
-    All columns of the documents are kept (one called _found is replaced).
+    All columns of the documents are kept; none may begin with an underscore.
     """
     spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = blocks_for(size, max_item_bytes)
 
@@ -138,20 +141,25 @@ def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_i
         )
         for n in range(blocks)
     ]
-    merge = F.udf(
-        lambda lists: merge_spans([(s["first"], s["last"]) for spans in lists or [] for s in spans]),
-        "array<struct<first: bigint, last: bigint>>",
-    )
+    # spans in order, each begun anew or added to the one before
+    begun = F.array().cast(_SPANS_SQL)
+
+    def add(done, span):
+        last = F.element_at(done, -1)
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["last"], span["last"]).alias("last"))
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))
+        return F.when((F.size(done) > 0) & (span["first"] <= F.element_at(done, F.greatest(-F.size(done), F.lit(-1)))["last"]), joined).otherwise(F.concat(done, F.array(span)))
+
     together = reduce(DataFrame.union, passes).groupBy("_doc", "_text").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("_found.items")))).alias("_items"),
-        merge(F.collect_list("_found.spans")).alias("_spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_found.items")))).alias("_items"),
+        F.aggregate(F.array_sort(F.flatten(F.collect_list("_found.spans"))), begun, add).alias("_spans"),
     )
     plain = docs.withColumn("_found", counted).withColumns(dict(zip(("_doc", "_text"), document_key(), strict=True)))
-    none = F.array().cast("array<bigint>"), F.array().cast("array<struct<first: bigint, last: bigint>>")
     return plain.join(together, ["_doc", "_text"], "left").withColumn(
         "_found",
         F.struct(
-            F.col("_found.n_words").alias("n_words"), F.coalesce("_items", none[0]).alias("items"), F.coalesce("_spans", none[1]).alias("spans")
+            F.col("_found.n_words").alias("n_words"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
+            F.coalesce("_spans", begun).alias("spans"),
         ),
     ).drop("_doc", "_text", "_items", "_spans")
 
@@ -169,4 +177,4 @@ def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without any benchmark window, with their own columns."""
-    return find_passages(docs, items, **options).filter("size(_found.items) = 0").select(*docs.columns)
+    return find_passages(rows_held(docs), items, **options).filter("size(_found.items) = 0").select("row.*")

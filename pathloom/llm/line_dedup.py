@@ -25,12 +25,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import kept, salted_join, with_key
+from pathloom.llm.common import kept, rows_held, salted_join, with_key
 
 RUN_WORDS = 50
 GRAM_WORDS = 25
 KEY = ["_doc", "_text"]
-_INNER = ("_doc", "_text", "_lines", "_gaps")
 
 
 def line_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
@@ -99,9 +98,9 @@ def repeated_ranges(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int
     return merged.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("ranges"))
 
 
-def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
-    """The documents without later repeated runs of lines, and `_removed`, the number of lines taken out."""
-    marked = with_key(docs).join(repeated_ranges(docs, run_words, gram_words), KEY, "left")
+def _cut(docs: DataFrame, run_words: int, gram_words: int) -> DataFrame:
+    """(row, rest, removed): the documents as they are, their text without later repeated runs, the lines taken out."""
+    marked = with_key(rows_held(docs)).join(repeated_ranges(docs, run_words, gram_words), KEY, "left")
     lines = F.split(F.col("text"), "\n", -1)
     # what lies between the ranges, in order
     gaps = F.transform(
@@ -114,11 +113,18 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = G
     rest = F.flatten(F.transform("_gaps", lambda g: F.slice("_lines", g["from"] + 1, g["to"] - g["from"])))
     cut = marked.withColumn("_lines", F.when(F.col("ranges").isNotNull(), lines)).withColumn("_gaps", F.when(F.col("ranges").isNotNull(), gaps))
     removed = F.aggregate("ranges", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
-    own = [F.when(F.col("ranges").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return cut.select(*own, F.coalesce(removed, F.lit(0)).cast("long").alias("_removed"))
+    left = F.when(F.col("ranges").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    return cut.select("row", left.alias("rest"), F.coalesce(removed, F.lit(0)).cast("long").alias("removed"))
+
+
+def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
+    """The documents without later repeated runs of lines, and `n_removed`, the number of lines taken out (a column of
+    the documents with that name is replaced)."""
+    others = [F.col("rest").alias("text") if name == "text" else F.col(f"row.`{name}`") for name in docs.columns if name != "n_removed"]
+    return _cut(docs, run_words, gram_words).select(*others, F.col("removed").alias("n_removed"))
 
 
-def without_repeats(docs: DataFrame, **options) -> DataFrame:
+def without_repeats(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """The documents with their own columns; a document of which no words are left is itself a repeat and goes."""
-    cut = dedup_lines(docs, **options)
-    return cut.filter((F.col("_removed") == 0) | F.col("text").rlike(r"[^ \t\r\n]")).select(*docs.columns)
+    cut = _cut(docs, run_words, gram_words).filter((F.col("removed") == 0) | F.col("rest").rlike(r"[^ \t\r\n]"))
+    return cut.select(*[F.col("rest").alias("text") if name == "text" else F.col(f"row.`{name}`") for name in docs.columns])

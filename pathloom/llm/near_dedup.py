@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import NO_ID, SLICE_CHARS, arrow_column, ascii_words, in_slices, kept, salted_join, with_key
+from pathloom.llm.common import NO_ID, SLICE_CHARS, arrow_column, ascii_words, in_slices, kept, rows_held, salted_join, with_key
 from pathloom.operators.components import connected_components
 
 SHINGLE = 5
@@ -280,10 +280,10 @@ def first_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents that come first in their class, with their own columns."""
     found = kept(near_classes(docs, **options), "near-classes")
     gone = found.filter((F.col("_doc") != F.col("class_doc")) | (F.col("_text") != F.col("class_text"))).select("_doc", "_text").distinct()
-    keyed = with_key(docs)
+    keyed = with_key(rows_held(docs))
     rest = keyed.join(gone, ["_doc", "_text"], "left_anti")
     again = found.groupBy("_doc", "_text").count().filter("count > 1").select("_doc", "_text")
     if again.isEmpty():
-        return rest.select(*docs.columns)
+        return rest.select("row.*")
     single = rest.join(again, ["_doc", "_text"], "left_anti")
-    return single.union(rest.join(again, ["_doc", "_text"], "left_semi").dropDuplicates(["_doc", "_text"]).select(*single.columns)).select(*docs.columns)
+    return single.union(rest.join(again, ["_doc", "_text"], "left_semi").dropDuplicates(["_doc", "_text"]).select(*single.columns)).select("row.*")

@@ -18,12 +18,12 @@ END_ID = 1
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    names = F.array_join("items", ",")
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("_removed").alias("n_removed"), "text")
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "text")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,10 +136,17 @@ WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHE
 l AS (SELECT doc_id, no, line FROM (
   SELECT doc_id, unnest(range(0, len(ls))) AS no, trim(unnest(ls), ' ' || chr(9) || chr(13)) AS line FROM raw) WHERE line <> ''),
 w AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS words FROM l),
-s AS (SELECT *, CAST(sum(words) OVER (PARTITION BY doc_id ORDER BY no) - words AS BIGINT) AS s FROM w),
+s AS (SELECT *, t - words AS s FROM (SELECT *, CAST(sum(words) OVER (PARTITION BY doc_id ORDER BY no) AS BIGINT) AS t FROM w)),
 r AS (
   SELECT doc_id, no, list(line) OVER run AS lines, sum(words) OVER run AS n, max(no) OVER run AS last
-  FROM s WINDOW run AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+  FROM s WINDOW run AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION
+  SELECT doc_id, min(no) OVER run, list(line) OVER run, sum(words) OVER run, no
+  FROM s WINDOW run AS (PARTITION BY doc_id ORDER BY t RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
+  UNION
+  SELECT doc_id, before, [line_before, line], words, no FROM (
+    SELECT *, lag(no) OVER doc AS before, lag(line) OVER doc AS line_before, lag(words) OVER doc AS words_before
+    FROM s WINDOW doc AS (PARTITION BY doc_id ORDER BY no)) WHERE words >= 50 AND words_before >= 50),
 k AS (SELECT *, row_number() OVER (PARTITION BY lines ORDER BY doc_id, no) AS nth FROM r WHERE n >= 50),
 gone AS (SELECT DISTINCT doc_id, unnest(range(no, last + 1)) AS no FROM k WHERE nth > 1),
 parts AS (SELECT doc_id, unnest(range(0, len(ls))) AS no, unnest(ls) AS line FROM raw),

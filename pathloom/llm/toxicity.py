@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_column, ascii_words, kept, per_text
+from pathloom.llm.common import arrow_column, ascii_words, kept, per_text, rows_held
 
 #: Labelled documents taken for training, chosen by a hash of their id.
 MAX_TRAIN_DOCS = 20_000
@@ -224,4 +224,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents below the threshold, with their own columns."""
-    return score(docs, model).filter(F.col("_toxicity.score") < threshold).select(*docs.columns)
+    return score(rows_held(docs), model).filter(F.col("_toxicity.score") < threshold).select("row.*")

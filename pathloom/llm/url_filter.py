@@ -6,7 +6,8 @@ rules decide and judges the others.
 
 Work follows distinct values: host parts are split once, hosts and paths (digits as 0) are scored once, and pages are
 joined to both with salted keys, since one host may hold a third of all pages. The words that can occur in a part are
-found by an equi-join of its substrings with the word counts, so no vocabulary is sent around.
+found by an equi-join of its substrings, as long as the longest word, with the word counts, so no vocabulary is sent
+around.
 
 Defined results: a null url, or one without `://`, has an empty host and path; empty hosts have no tokens; without
 rule-decided urls the method allows; repeated rows each get their verdict; extra columns are left aside.
@@ -25,7 +26,6 @@ from pathloom.llm.common import arrow_column, kept, salted_join
 RULES = (
     ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"),
 )
-MAX_WORD = 24
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -54,31 +54,42 @@ def word_counts(texts: Column, frame: DataFrame) -> DataFrame:
     return frame.select(F.explode(F.split(plain, " +")).alias("word")).filter("word != ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def segment(part: str, counts: dict[str, int], total: int, longest: int = MAX_WORD) -> list[str]:
-    """The likeliest words of a part: known words by their share, unknown runs at a price that grows with their length."""
-    best: list[tuple[float, int]] = [(0.0, 0)]
+def segment(part: str, counts: dict[str, int], total: int) -> list[str]:
+    """The likeliest words of a part: known words by their share, unknown runs at a price that grows with their length.
+
+    Of all beginnings of an unknown run up to a place, the best one stays the best further on, so it is kept along the
+    way; known words are tried by their lengths. Of equal choices the longest last word wins.
+    """
+    lengths = sorted({len(word) for word in counts}, reverse=True)
+    per_letter, unknown = math.log(10), math.log(1 / (total + 1))
+    best, begin = [0.0], [0]
+    run, run_start = 0.0, 0
     for end in range(1, len(part) + 1):
-        choices = []
-        for start in range(max(0, end - longest), end):
-            n = counts.get(part[start:end])
-            cost = math.log(n / total) if n else math.log(1 / (total + 1)) - (end - start) * math.log(10)
-            choices.append((best[start][0] + cost, start))
-        best.append(max(choices, key=lambda c: (c[0], -c[1])))
+        cost, start = unknown + run - end * per_letter, run_start
+        for length in lengths:
+            if length <= end and (n := counts.get(part[end - length : end])):
+                known = best[end - length] + math.log(n / total)
+                if known > cost or (known == cost and end - length < start):
+                    cost, start = known, end - length
+        best.append(cost)
+        begin.append(start)
+        if cost + end * per_letter > run:
+            run, run_start = cost + end * per_letter, end
     words, end = [], len(part)
     while end:
-        start = best[end][1]
-        words.append(part[start:end])
-        end = start
+        words.append(part[begin[end] : end])
+        end = begin[end]
     return words[::-1]
 
 
 def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """(host, words) for distinct hosts."""
-    total = counts.agg(F.sum("n")).first()[0] or 1
+    total, longest_word = counts.agg(F.sum("n"), F.max(F.length("word"))).first()
+    total = total or 1
     parts = hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit(r"([^.\-_0-9]+)"), F.lit(1))).alias("at", "part"))
     single = parts.select("part").distinct()
     starts = single.select("part", F.explode(F.sequence(F.lit(1), F.length("part"))).alias("i"))
-    longest = F.least(F.lit(MAX_WORD), F.length("part") - F.col("i") + 1)
+    longest = F.least(F.lit(longest_word or 1), F.length("part") - F.col("i") + 1)
     runs = starts.select("part", "i", F.explode(F.sequence(F.lit(1), longest)).alias("l")).select("part", F.expr("substring(part, i, l)").alias("word")).distinct()
     known = runs.join(counts, "word").groupBy("part").agg(F.collect_list(F.struct("word", "n")).alias("known"))
 

@@ -20,35 +20,64 @@ def frame(spark, rows):
     return spark.createDataFrame([(d, t, "en", None, None) for d, t in rows], DOCS)
 
 
+#: Names that operators use themselves; a caller's columns of these names stay as they are.
+CLASHING = (
+    "ranges", "removed", "row", "rest", "_removed", "_lines", "_gaps", "_doc", "_text", "_found", "_items", "_spans", "_toxicity", "node", "class_doc",
+    "fp", "no", "words", "a.b",
+)
+
+
+def clashing(docs):
+    return docs.withColumns({name: F.lit(f"own {name}") for name in CLASHING})
+
+
+def unharmed(docs):
+    return all(r[name] == f"own {name}" for r in docs.collect() for name in CLASHING)
+
+
+def test_stages_leave_other_columns_alone(spark):
+    rng = random.Random(12)
+    texts = [words(rng, 120) for _ in range(4)]
+    docs = clashing(frame(spark, [(1, texts[0]), (2, texts[1]), (2, texts[1]), (3, texts[1] + " end"), (4, None), (5, ""), (6, texts[2] + "\n" + texts[3])]))
+    items = spark.createDataFrame([("x", texts[2])], "item_id string, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int"))
+    stages = [
+        toxicity.keep_clean(docs, model), line_dedup.without_repeats(docs), near_dedup.first_of_each(docs),
+        decontaminate.clean_documents(docs, items), decontaminate.clean_documents(docs, items.union(items), max_item_bytes=100),
+    ]
+    for left in stages:
+        assert left.columns == docs.columns and unharmed(left) and left.count() >= 3
+
+
 def words(rng, count, pool=200):
     return " ".join(f"w{rng.randrange(pool)}" for _ in range(count))
 
 
 # line dedup
 
-def brute_lines(rows, run_words):
-    """Text and removed lines by the definition, for distinct ids."""
+def rule_lines(rows, run_words):
+    """Text and removed lines by the rule, for distinct ids: the later one of any two equal runs of enough words goes."""
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    seen, out = set(), {}
-    for doc, text in order:
-        if text is None:
-            out[doc] = (None, 0)
-            continue
-        lines = text.split("\n")
-        filled = [(i, x.strip(" \t\r")) for i, x in enumerate(lines) if x.strip(" \t\r")]
-        gone = set()
-        for a in range(len(filled)):
-            total, b = 0, a
-            while b < len(filled) and total < run_words:
-                total += filled[b][1].count(" ") + 1
-                b += 1
-            if total >= run_words:
-                run = tuple(x for _, x in filled[a:b])
-                if run in seen:
-                    gone.update(range(filled[a][0], filled[b - 1][0] + 1))
-                seen.add(run)
-        out[doc] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone))
-    return out
+    lines = [(d, i, x.strip(" \t\r")) for d, t in order if t is not None for i, x in enumerate(t.split("\n")) if x.strip(" \t\r")]
+    where, gone = defaultdict(list), defaultdict(set)
+    for place, (_, _, line) in enumerate(lines):
+        where[line].append(place)
+
+    def follows(p):
+        return p + 1 < len(lines) and lines[p + 1][0] == lines[p][0]
+
+    for places in where.values():
+        for n, y in enumerate(places):
+            for x in places[:n]:
+                if x and lines[x - 1][::2] == (lines[x][0], lines[y - 1][2]) and lines[y - 1][0] == lines[y][0]:
+                    continue  # the match began earlier
+                size, total = 1, lines[x][2].count(" ") + 1
+                while follows(x + size - 1) and follows(y + size - 1) and lines[x + size][2] == lines[y + size][2]:
+                    total += lines[x + size][2].count(" ") + 1
+                    size += 1
+                if total >= run_words:
+                    gone[lines[y][0]].update(range(lines[y][1], lines[y + size - 1][1] + 1))
+    return {d: (None, 0) if t is None else ("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]), len(gone[d])) for d, t in order}
 
 
 def test_line_dedup_against_brute_force(spark):
@@ -56,10 +85,12 @@ def test_line_dedup_against_brute_force(spark):
     pool = [words(rng, rng.randint(1, 9), 50) for _ in range(30)]
     rows = [(i, "\n".join(rng.choice([*pool, "", " "]) for _ in range(rng.randint(0, 25)))) for i in range(60)]
     rows += [(100, rows[3][1]), (101, None), (102, ""), (None, rows[5][1]), (103, "\n".join([pool[0]] * 30))]
-    docs = frame(spark, rows).withColumn("fp", F.lit("x")).withColumn("_lines", F.lit(2))
-    got = {r["doc_id"]: (r["text"], r["_removed"]) for r in line_dedup.dedup_lines(docs, 12, 6).collect()}
-    assert got == brute_lines(rows, 12)
+    docs = clashing(frame(spark, rows))
+    left = line_dedup.dedup_lines(docs, 12, 6)
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in left.collect()}
+    assert got == rule_lines(rows, 12)
     assert sum(n for _, n in got.values()) > 50
+    assert left.columns == [*docs.columns, "n_removed"] and unharmed(left)
 
 
 def test_line_dedup_repeated_rows_and_empty_tables(spark):
@@ -73,23 +104,6 @@ def test_line_dedup_repeated_rows_and_empty_tables(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
-def rule_lines(rows, run_words):
-    """Text and removed lines by the rule: all lines in any run of enough words that has an equal run starting earlier."""
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    filled = {d: [(i, x.strip(" \t\r")) for i, x in enumerate(t.split("\n")) if x.strip(" \t\r")] for d, t in order}
-    runs = [
-        (tuple(x for _, x in filled[d][a:b]), d, filled[d][a][0], filled[d][b - 1][0])
-        for d, _ in order for a in range(len(filled[d])) for b in range(a + 1, len(filled[d]) + 1)
-    ]
-    seen, gone = set(), defaultdict(set)
-    for run, doc, first, last in runs:
-        if sum(x.count(" ") + 1 for x in run) >= run_words:
-            if run in seen:
-                gone[doc].update(range(first, last + 1))
-            seen.add(run)
-    return {d: ("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]), len(gone[d])) for d, t in order}
-
-
 def test_line_dedup_removes_whole_matches(spark):
     rng = random.Random(8)
     passage = "\n".join(words(rng, n) for n in (30, 30, 15))
@@ -98,8 +112,8 @@ def test_line_dedup_removes_whole_matches(spark):
     pool = [words(rng, rng.choice([1, 2, 3, 5, 8, 12, 15]), 60) for _ in range(12)]
     rows = [(i, "\n".join(rng.choice([*pool, "", " "]) for _ in range(rng.randint(0, 14)))) for i in range(50)]
     rows += [(100 + i, "x y z\n" + rows[i][1] + "\nz y x") for i in range(0, 50, 5)]
-    got = {r["doc_id"]: (r["text"], r["_removed"]) for r in line_dedup.dedup_lines(frame(spark, rows), 12, 6).collect()}
-    assert got == rule_lines(rows, 12) and got != brute_lines(rows, 12)
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(frame(spark, rows), 12, 6).collect()}
+    assert got == rule_lines(rows, 12)
 
 
 # near-dedup
@@ -169,6 +183,67 @@ def test_dart_entries_estimate_weighted_similarity():
 
 # URL filter
 
+def brute_judge(rows, rules):
+    """host, path, rule and verdict of urls, one after the other: rules, then Viterbi and naive Bayes over plain lists."""
+    import re
+
+    texts = [re.sub(r"<[^>]*>|[\W\d_]+", " ", html.lower()).split() for _, _, html in rows if html is not None]
+    counts = Counter(w for t in texts for w in t)
+    total = sum(counts.values())
+
+    def cut(part):
+        best = [(0.0, [])]
+        for end in range(1, len(part) + 1):
+            tried = []
+            for start in range(end):
+                word = part[start:end]
+                cost = math.log(counts[word] / total) if word in counts else math.log(1 / (total + 1)) - len(word) * math.log(10)
+                tried.append((best[start][0] + cost, -start, [*best[start][1], word]))
+            cost, _, split = max(tried)
+            best.append((cost, split))
+        return best[-1][1]
+
+    judged = []
+    for page, url, _ in rows:
+        found = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (found[1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), found[2]) if found else ("", "")
+        fits = [(len(r), r, v) for r, v in rules for h, _, p in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        rule, says = (max(fits)[1:]) if fits else (None, None)
+        tokens = ["h:" + w for part in re.findall(r"[^.\-_0-9]+", host) for w in cut(part)] + ["p:" + w for w in re.findall(r"[^\W_]+", re.sub("[0-9]+", "0", path))]
+        judged.append((page, host, path, rule, says, tokens))
+    table = defaultdict(lambda: [0, 0])
+    for *_, says, tokens in judged:
+        for t in tokens:
+            table[t][0] += says == "block"
+            table[t][1] += says == "allow"
+    blocked, allowed = (sum(v[i] for v in table.values()) for i in (0, 1))
+    n = [sum(j[4] == v for j in judged) for v in ("block", "allow")]
+    seen = len(table) or 1
+    out = {}
+    for page, host, path, rule, says, tokens in judged:
+        odds = math.log((n[0] + 0.5) / (n[1] + 1)) + sum(math.log((table[t][0] + 1) / (blocked + seen)) - math.log((table[t][1] + 1) / (allowed + seen)) for t in tokens)
+        out[page] = (host, path, rule, says or ("block" if round(odds, 6) > 0 else "allow"), round(odds, 4))
+    return out
+
+
+def test_url_verdicts_against_brute_force(spark):
+    rng = random.Random(31)
+    vocabulary = ["news", "cheap", "pills", "garden", "tools", "casino", "win", "blog", "a" * 30]
+    rows = []
+    for i in range(160):
+        host = ".".join("".join(rng.choices(vocabulary, k=rng.randint(1, 3))) + rng.choice(["", "7", "-x", "Qq" * 20]) for _ in range(rng.randint(1, 2)))
+        tail = rng.choice([".com", ".net", ".org", ".EXAMPLE.com", ".io"])
+        path = rng.choice(["", "/", "/es/win", "/fr/2024/casino?x=/es/", "/en/blog-9", "/tools/garden#win"])
+        rows.append((i, rng.choice(["http", "https"]) + "://" + host + tail + path, "<p>" + " ".join(rng.choices(vocabulary, k=12)) + "</p>"))
+    rows += [(900, None, None), (901, "no scheme", "text"), (902, "://", ""), (903, "x://" + "z" * 300 + ".org/", "long")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("token", F.lit(1)).withColumn("host", F.lit("h"))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], round(r["log_odds"], 4)) for r in url_filter.judge(pages).collect()}
+    want = brute_judge(rows, url_filter.RULES)
+    assert {k: v[:4] for k, v in got.items()} == {k: v[:4] for k, v in want.items()}
+    assert all(got[k][4] == pytest.approx(want[k][4], abs=2e-4) for k in want)
+    assert len({v[3] for k, v in got.items() if v[2] is None}) == 2
+
+
 def test_url_rules(spark):
     urls = {
         "http://www.Example.com/en/1?x": ("www.example.com", "/en/1", "www.example.com/en/", "allow"),
@@ -376,7 +451,7 @@ def test_pipeline_stages(spark):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     left = {r["doc_id"]: r["text"] for r in docs.collect()}
     left = {d: t for d, t in left.items() if toxicity.assess(t or "", model)["score"] < toxicity.THRESHOLD}
-    cut = brute_lines(list(left.items()), line_dedup.RUN_WORDS)
+    cut = rule_lines(list(left.items()), line_dedup.RUN_WORDS)
     left = {d: t for d, (t, n) in cut.items() if not n or t.strip()}
     classes = brute_classes(list(left.items()))
     left = {d: t for d, t in left.items() if classes[d] == d}
