@@ -11,6 +11,10 @@ of one group are linked. How good a link is depends on the corpus: in how many d
 - The counts are joined to the postings by pair, and the postings go back to their blocks, where their bits add the
   counts to the documents' scores. So links are never rows; what is shuffled is compressed sets.
 
+Neither tokenizer has a token that goes on after a letter into a single space, so texts are cut there (where that does
+not hold, whole texts are the parts): both libraries get each part once as long as the worker remembers its groups and
+links, and a text's groups and links are those of its parts.
+
 Token bytes: byte-level letters stand for bytes in the first vocabulary; in the second, U+2581 is a space and <0xHH> a
 byte. The first tokenizer is given a space and the text, the second adds a space by itself; special strings inside a
 text are ordinary text.
@@ -22,7 +26,9 @@ are left aside.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
 from hashlib import sha256
 
@@ -42,6 +48,13 @@ BLOCK_DOCS = 1 << 16
 #: Distinct links (pair, document) a task holds before it writes a block.
 BLOCK_LINKS = 6_000_000
 SLICE = 1 << 19
+#: Parts of texts a worker remembers, and the characters of the longest of them.
+MAX_PARTS, PART_CHARS = 400_000, 64
+
+#: Texts encoded as one.
+JOINED = 2000
+
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Tokens:
@@ -62,35 +75,62 @@ class Tokens:
             piece = self.second.id_to_piece(i)
             self.second_bytes.append(bytes([int(piece[3:5], 16)]) if self.second.is_byte(i) else piece.replace("▁", " ").encode())
         self.lengths = [np.array([len(x) for x in names], np.int64) for names in (self.first_bytes, self.second_bytes)]
-        # each id with what follows it: inside its side of a group, or at the end of the side
+        # each id with what follows it: inside its side of a group, at the end of the side, at the end of a text
         self.named = [f"{i}{mark}" for i in range(len(self.first_bytes)) for mark in ",|"]
+        # a cut is safe where a space begins a piece of the first and a token of the second
+        config = json.loads(self.first.to_str())
+        split = config["pre_tokenizer"] or {}
+        self.cuts = (
+            config["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+            and not any(" " in name.decode("utf-8", "replace").lstrip(" ") for name in self.second_bytes)
+        )
         self.second_names = len(self.named)
-        self.named += [f"{i}{mark}" for i in range(len(self.second_bytes)) for mark in ",;"]
+        self.named += [f"{i}{mark}" for i in range(len(self.second_bytes)) for mark in ",;\n"]
+
+    def parts(self, text: str) -> list[str]:
+        return _CUT.split(text) if self.cuts else [text]
 
     def encoded(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both; none where a text doesn't come back byte by byte."""
-        a = [x.ids for x in self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.second.encode(texts, out_type=int, num_threads=1)
-        out = []
-        for text, x, y in zip(texts, a, b, strict=True):
-            whole = (" " + text).encode("utf-8", "replace")
-            same = bool(text) and all(
-                b"".join(map(names.__getitem__, ids)) == whole for names, ids in ((self.first_bytes, x), (self.second_bytes, y))
-            )
-            out.append((x, y) if same else ([], []))
+        first = self._first_joined(texts) if self.cuts else self._first(texts)
+        second = self.second.encode(texts, out_type=int, num_threads=1)
+        join, names = b"".join, self.second_bytes.__getitem__
+        return [
+            (x, y) if x is not None and join(map(names, y)) == (" " + text).encode("utf-8", "replace") else ([], [])
+            for text, x, y in zip(texts, first, second, strict=True)
+        ]
+
+    def _first(self, texts: list[str]) -> list[list[int] | None]:
+        names = self.first_bytes.__getitem__
+        coded = [x.ids for x in self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [x if b"".join(map(names, x)) == (" " + t).encode("utf-8", "replace") else None for t, x in zip(texts, coded, strict=True)]
+
+    def _first_joined(self, texts: list[str]) -> list[list[int] | None]:
+        """The same for texts between which a cut is safe: the library takes many at once, and ids are told apart by bytes."""
+        out: list[list[int] | None] = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and not t[0].isspace() and not t[-1].isspace()]
+        rest = set(range(len(texts))).difference(plain)
+        for begin in range(0, len(plain), JOINED):
+            part = plain[begin : begin + JOINED]
+            whole = " " + " ".join(texts[i] for i in part)
+            ids = self._first([whole[1:]])[0]
+            bounds = np.cumsum([len(texts[i].encode("utf-8", "replace")) + 1 for i in part])
+            ends = np.cumsum(self.lengths[0][ids]) if ids else bounds[:0]
+            last = np.searchsorted(ends, bounds)
+            if not len(ends) or last[-1] >= len(ends) or (ends[last] != bounds).any():
+                rest.update(part)
+                continue
+            at = [0, *(last + 1).tolist()]
+            for i, a, z in zip(part, at[:-1], at[1:], strict=True):
+                out[i] = ids[a:z]
+        single = sorted(rest)
+        for i, ids in zip(single, self._first([texts[i] for i in single]), strict=True):
+            out[i] = ids
         return out
 
 
-@lru_cache(maxsize=1)
-def load(first: str, second: str) -> Tokens:
-    return Tokens(first, second)
-
-
-FORGET.append(({"alignment"}, load.cache_clear))
-
-
 class Aligned:
-    """Groups and links of a slice of encoded texts."""
+    """Groups and links of encoded texts."""
 
     def __init__(self, coded: list[tuple[list[int], list[int]]], tokens: Tokens) -> None:
         count = len(coded)
@@ -110,21 +150,100 @@ class Aligned:
         self.n_groups = np.bincount(owner[0][closes[0]], minlength=count)
         # the n-th token of the first side in place among the tokens of both, and the other way round
         upto = [np.concatenate([[0], np.cumsum(m)]) for m in many]
-        self.codes = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+        codes = np.empty(len(ids[0]) + len(ids[1]), np.int64)
         last = [np.arange(len(g)) == upto[side][g + 1] - 1 for side, g in enumerate(group)]
-        self.codes[np.arange(len(ids[0])) + upto[1][group[0]]] = ids[0] * 2 + last[0]
-        self.codes[np.arange(len(ids[1])) + upto[0][group[1] + 1]] = tokens.second_names + ids[1] * 2 + last[1]
+        final = np.zeros(len(ids[1]), bool)
+        final[np.cumsum(self.n[1])[self.n[1] > 0] - 1] = True
+        codes[np.arange(len(ids[0])) + upto[1][group[0]]] = ids[0] * 2 + last[0]
+        codes[np.arange(len(ids[1])) + upto[0][group[1] + 1]] = tokens.second_names + ids[1] * 3 + last[1] + final
+        #: `a1,a2|b1;a3|b2,b3` for each text
+        written = iter("".join(map(tokens.named.__getitem__, codes.tolist())).split("\n"))
+        self.groups = [next(written) if n else "" for n in self.n[0].tolist()]
         times = many[1][group[0]]
         nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         other = np.repeat(upto[1][group[0]], times) + nth
         self.doc = np.repeat(owner[0], times)
         self.pair = np.repeat(ids[0], times) * len(tokens.second_bytes) + ids[1][other]
         self.n_links = np.bincount(self.doc, minlength=count)
-        self.bounds = np.concatenate([[0], np.cumsum(self.n[0] + self.n[1])])
 
-    def groups(self, tokens: Tokens, i: int) -> str:
-        """`a1,a2|b1;a3|b2,b3` for a text."""
-        return "".join(map(tokens.named.__getitem__, self.codes[self.bounds[i] : self.bounds[i + 1]].tolist()))[:-1]
+
+class Remembered:
+    """Groups and links of parts of texts, by part, in arrays that grow."""
+
+    def __init__(self, tokens: Tokens) -> None:
+        self.tokens = tokens
+        self.place: dict[str, int] = {}
+        self.names: list[str] = []
+        self.figures = np.zeros((0, 4), np.int64)  # tokens of both, groups, links
+        self.known = np.zeros(0, bool)
+        self.links = np.zeros(0, np.int64)
+        self.link_start = np.zeros(1, np.int64)
+
+    def learn(self, parts: list[str]) -> None:
+        coded = self.tokens.encoded(parts)
+        found = Aligned(coded, self.tokens)
+        self.place.update(zip(parts, range(len(self.names), len(self.names) + len(parts)), strict=True))
+        self.names += found.groups
+        self.figures = np.concatenate([self.figures, np.stack([*found.n, found.n_groups, found.n_links], axis=1)])
+        self.known = np.concatenate([self.known, [bool(a) for a, _ in coded]])
+        self.links = np.concatenate([self.links, found.pair])
+        self.link_start = np.concatenate([self.link_start, self.link_start[-1] + np.cumsum(found.n_links)])
+
+    def forget(self, keep: int) -> None:
+        """Keep the parts learnt first."""
+        for part in [p for p, i in self.place.items() if i >= keep]:
+            del self.place[part]
+        del self.names[keep:]
+        self.figures, self.known = self.figures[:keep].copy(), self.known[:keep].copy()
+        self.links, self.link_start = self.links[: self.link_start[keep]].copy(), self.link_start[: keep + 1].copy()
+
+    def texts(self, texts: list[str]) -> AlignedTexts:
+        if len(self.names) > MAX_PARTS:
+            self.forget(MAX_PARTS * 3 // 4)
+        split = [self.tokens.parts(text) if text else [] for text in texts]
+        new = sorted({part for parts in split for part in parts if part not in self.place}, key=lambda part: len(part) > PART_CHARS)
+        short = len(self.names) + sum(len(part) <= PART_CHARS for part in new)
+        if new:
+            self.learn(new)
+        found = AlignedTexts(self, split)
+        if short < len(self.names):
+            self.forget(short)
+        return found
+
+
+class AlignedTexts:
+    """Figures, group strings and links of texts made of remembered parts; a text with a part that didn't come back byte
+    by byte has none."""
+
+    def __init__(self, memory: Remembered, split: list[list[str]]) -> None:
+        many = np.array([len(parts) for parts in split], np.int64)
+        place = np.fromiter((memory.place[part] for parts in split for part in parts), np.int64, int(many.sum()))
+        owner = np.repeat(np.arange(len(split)), many)
+        bad = np.bincount(owner[~memory.known[place]], minlength=len(split)) > 0
+        good = ~bad[owner]
+        place, owner = place[good], owner[good]
+        self.figures = np.zeros((len(split), 4), np.int64)
+        np.add.at(self.figures, owner, memory.figures[place])
+        bounds = np.searchsorted(owner, np.arange(len(split) + 1)).tolist()
+        names = list(map(memory.names.__getitem__, place.tolist()))
+        self.groups = [";".join(names[a:z]) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+        count = memory.figures[place, 3]
+        first = np.repeat(memory.link_start[place] - (np.cumsum(count) - count), count)
+        self.pair = memory.links[first + np.arange(len(first))]
+        self.doc = np.repeat(owner, count)
+
+
+@lru_cache(maxsize=1)
+def load(first: str, second: str) -> Tokens:
+    return Tokens(first, second)
+
+
+@lru_cache(maxsize=1)
+def memory(first: str, second: str) -> Remembered:
+    return Remembered(load(first, second))
+
+
+FORGET += [({"alignment"}, load.cache_clear), ({"alignment"}, memory.cache_clear)]
 
 
 def pack_postings(pair: np.ndarray, doc: np.ndarray, times: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
@@ -203,7 +322,7 @@ def _aligner(first: str, second: str):
         return pa.RecordBatch.from_arrays(arrays, _NAMES)
 
     def run(batches):
-        tokens = load(first, second)
+        remembered = memory(first, second)
         block, docs, links = TaskContext.get().partitionId() << 32, 0, 0
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -224,11 +343,12 @@ def _aligner(first: str, second: str):
                     if held:
                         yield from postings()
                     block, docs, links, held = block + 1, 0, 0, []
-                found = Aligned(tokens.encoded(texts), tokens)
-                hashes = [sha256(found.groups(tokens, i).encode()).hexdigest() if found.n[0][i] else "" for i in range(len(texts))]
+                found = remembered.texts(texts)
+                hashes = [sha256(groups.encode()).hexdigest() if groups else "" for groups in found.groups]
+                n_a, n_b, n_groups, n_links = found.figures.T
                 yield table(
                     len(texts), block=np.full(len(texts), block), number=np.arange(docs, docs + len(texts)), doc_id=ids.slice(done, len(texts)),
-                    n_a=found.n[0], n_b=found.n[1], n_groups=found.n_groups, n_links=found.n_links, groups_sha256=hashes,
+                    n_a=n_a, n_b=n_b, n_groups=n_groups, n_links=n_links, groups_sha256=hashes,
                 )
                 key, times = np.unique(found.pair << 16 | (found.doc + docs), return_counts=True)
                 if len(key):
@@ -307,12 +427,10 @@ def group_text(column, first: str, second: str):
     """The groups of a text column, like `a1,a2|b1;a3|b2,b3`; empty without tokens."""
 
     def run(batches):
-        tokens = load(first, second)
         for batch in batches:
             out: list[str] = []
             for texts, _ in slices([batch], SLICE):
-                found = Aligned(tokens.encoded(texts), tokens)
-                out += [found.groups(tokens, i) for i in range(len(texts))]
+                out += memory(first, second).texts(texts).groups
             yield pa.array(out, pa.string())
 
     return arrow_column(run, "string", column, "alignment")

@@ -122,7 +122,7 @@ def brute_alignment(rows):
 
 def test_alignment_against_brute_force(spark, monkeypatch):
     rng = random.Random(3)
-    odd = ["", " ", "  two  spaces ", "\ttab\n\nlines \r\n", "<|endoftext|> <s> </s> <unk>", "naïve café ﬁ ½", "日本語 한국어 🙂👍🏽", "▁ under", "a▁b", "x" * 300, "\x00 nul", "don't we'll 1234567 3.14", "é" * 90, " nb　sp"]
+    odd = ["", " ", "  two  spaces ", "\ttab\n\nlines \r\n", "<|endoftext|> <s> </s> <unk>", "naïve café ﬁ ½", "日本語 한국어 🙂👍🏽", "▁ under", "a▁b", "x" * 300, "y" * 90 + " " + "z" * 90, "a\u180e b \u180ec \x1c d", "\x00 nul", "don't we'll 1234567 3.14", "é" * 90, " nb　sp"]
     pool = ["the", "house", "unbelievably", "Straße", "été", "of", "2024", "...", "naïveté", "\n"]
     rows = list(enumerate(odd)) + [(100 + i, " ".join(rng.choices(pool, k=rng.randint(1, 60)))) for i in range(70)]
     rows += [(5, odd[5]), (None, "the house"), (400, None), (401, "the of " * 3000)]
@@ -137,6 +137,25 @@ def test_alignment_against_brute_force(spark, monkeypatch):
     assert alignment.align(docs.limit(0), A, B).count() == 0
 
 
+def test_remembered_parts_give_what_whole_texts_give(monkeypatch):
+    """Over every code point next to a cut, with a memory that fills up and with none at all."""
+    rng = random.Random(17)
+    tokens = alignment.load(A, B)
+    letters = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000] + ["\U0001f642", "\U000e0fff", "漢"]
+    texts = ["a" + x + " " + x + "b 's" + x + " 1" + x for x in letters]
+    texts += ["".join(rng.choices([" ", "  ", "\n", "ab", "é", "<|endoftext|>", "x" * 70, "9", "!"], k=rng.randint(1, 40))) for _ in range(300)]
+    whole = [alignment.Aligned(tokens.encoded([t]) if t else [([], [])], tokens) for t in texts]
+    monkeypatch.setattr(alignment, "MAX_PARTS", 300)
+    remembered = alignment.Remembered(tokens)
+    for begin in range(0, len(texts), 50):
+        found = remembered.texts(texts[begin : begin + 50])
+        for i, one in enumerate(whole[begin : begin + 50]):
+            assert found.groups[i] == one.groups[0], texts[begin + i]
+            assert found.figures[i].tolist() == [int(one.n[0][0]), int(one.n[1][0]), int(one.n_groups[0]), int(one.n_links[0])]
+            assert sorted(found.pair[found.doc == i].tolist()) == sorted(one.pair.tolist())
+    assert len(remembered.names) <= 400
+
+
 def test_postings_round_trip():
     rng = np.random.default_rng(7)
     for block in (1, 9, 700, 65_536):
