@@ -68,7 +68,15 @@ def t4(t: Tables) -> DataFrame:
 _REQUESTED = "SELECT event_id, ts, user_id % 5 AS origin, event_type AS mode, CAST(floor(value / 5e1) AS BIGINT) AS destination FROM events"
 
 
-@query("T6")
+@query(
+    "T6",
+    f"""WITH RECURSIVE e AS (SELECT coalesce(destination, -1) AS d, coalesce(mode, '') AS m, origin AS o, epoch_us(ts) AS at_us, min(event_id) AS event_id FROM ({_REQUESTED}) q GROUP BY 1, 2, 3, 4),
+          n AS (SELECT d, m, o, at_us, min(at_us) OVER later AS to_us, first_value(event_id) OVER later AS to_id FROM e
+            WINDOW later AS (PARTITION BY d, m, o ORDER BY at_us RANGE BETWEEN 300000000 FOLLOWING AND UNBOUNDED FOLLOWING)),
+          r AS (SELECT d, m, o, min(at_us) AS at_us, arg_min(event_id, at_us) AS event_id FROM e GROUP BY d, m, o
+            UNION ALL SELECT n.d, n.m, n.o, n.to_us, n.to_id FROM r JOIN n ON n.d = r.d AND n.m = r.m AND n.o = r.o AND n.at_us = r.at_us WHERE n.to_us IS NOT NULL)
+        SELECT event_id FROM r""",
+)
 def t6(t: Tables) -> DataFrame:
     """Requests that are not answered by a response at most 300 s old to the same canonical request."""
     asked = t.sql(_REQUESTED).withColumn("request_hash", E.request_hash(F.struct("destination", "mode", "origin")))
