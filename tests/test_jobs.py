@@ -341,6 +341,35 @@ def test_nearest_with_a_hot_spot(spark):
     assert {r.p: r.t for r in found} == {p: t for p, (_, t) in expected.items()}
 
 
+@pytest.mark.parametrize("by", [[], ["mode"]])
+def test_outliers_and_a_dense_city_go_down_the_tree(spark, monkeypatch, by):
+    """Far points around the globe, also across its seam and near its poles; targets packed in one place, few elsewhere."""
+    from pathloom.operators import tree
+
+    monkeypatch.setattr(tree, "LEAF", 8)
+    rng = random.Random(17)
+    modes = ["walk", "car"]
+    targets = [(i, rng.choice(modes), 32 + rng.gauss(0, 0.003), 34 + rng.gauss(0, 0.003)) for i in range(1500)]
+    targets += [(2000 + i, rng.choice(modes), rng.uniform(-85, 85), rng.uniform(-180, 180)) for i in range(40)]
+    targets += [(3000, "walk", 10.0, 179.95), (3001, "car", 10.0, -179.95), (3002, "walk", 89.9, 0.0)]
+    points = [(i, rng.choice(modes), rng.uniform(-89, 89), rng.uniform(-180, 180)) for i in range(60)]
+    points += [(100, "car", 10.0, 179.0), (101, "walk", 10.0, -179.0), (102, "walk", 88.0, 179.0), (103, "bus", 1.0, 1.0)] + [(200 + i, "walk", 20.0, 20.0) for i in range(30)]
+    found = J.nearest(
+        spark.createDataFrame(points, "p long, mode string, lat double, lon double"), spark.createDataFrame(targets, "t long, mode string, lat double, lon double"), "p", "t", by=by
+    )
+
+    def metres(a, b):
+        p, q = math.radians(a[2]), math.radians(b[2])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
+        return round(2 * 6_371_008.8 * math.asin(min(1.0, math.sqrt(h))), 6)
+
+    expected = {p[0]: min(((metres(p, t), t[0]) for t in targets if not by or t[1] == p[1]), default=(None, None))[1] for p in points}
+    assert {r.p: r.t for r in found.collect()} == expected
+    cells, leaves = tree.build_tree(spark.createDataFrame(targets, "_target long, mode string, t_lat double, t_lon double"), by)
+    sizes = [r["count"] for r in leaves.groupBy(*by, "depth", "cy", "cx").count().collect()]
+    assert sum(sizes) == len(targets) and max(sizes) <= 8
+
+
 def test_building_shade_against_brute_force(spark):
     """The ray form against a direct test: a point is shaded when some step back along the ray lies in the footprint."""
     rng = random.Random(5)
