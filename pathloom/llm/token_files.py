@@ -14,14 +14,16 @@ ordered by the hash of their text; repeated rows are documents of their own; an
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.bpe import CACHE_WORD_CHARS, byte_letters, library, load, normal_words, trim_cache, words_of
-from pathloom.llm.common import CACHES, NO_ID, arrow_column, small_batches
+from pathloom.llm.bpe import CACHE_WORD_CHARS, byte_letters, library, load, trim_cache
+from pathloom.llm.common import CACHES, NO_ID, arrow_column, slices, small_batches
 
 SEGMENT_IDS = 1 << 16
 SEGMENT_DOCS = 1 << 12
@@ -81,36 +83,58 @@ def unpack_ids(payload: bytes, offsets: list[int], bits: int, start: int, count:
     return ids[start - first * BLOCK_IDS : start - first * BLOCK_IDS + count]
 
 
-class _Words(dict):
-    """Ids of words as the tokenizers library gives them."""
+#: The lower-case vocabulary's word pattern on ASCII bytes.
+_ASCII_WORDS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\x09-\x0d \x30-\x39a-z]+")
+
+
+class _Parts(dict):
+    """Packed ids of what stands between ASCII white space, as the tokenizers library gives them.
+
+    A-Z are lower-case already. A word by itself is a part of one word, so the words of a part are looked up like parts.
+    """
 
     def __init__(self, path: str) -> None:
-        self.model = library(path).model
+        whole = library(path)
+        self.tokenize = whole.model.tokenize
+        self.normal, self.split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         self.letters = str.maketrans({chr(b): letter for b, letter in enumerate(byte_letters())})
 
-    def __missing__(self, word: str) -> bytes:
-        # printable ASCII stands for itself in byte-level letters
-        plain = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(plain)])
-        if len(word) <= CACHE_WORD_CHARS:
-            self[word] = ids
+    def _word(self, letters: str) -> bytes:
+        return b"".join([token.id.to_bytes(4, "little") for token in self.tokenize(letters)])
+
+    def __missing__(self, part: bytes) -> bytes:
+        if not part.isascii():
+            ids = b"".join([self._word(word) for word, _ in self.split(self.normal(part.decode()))])
+        elif (words := _ASCII_WORDS.findall(part)) == [part]:
+            plain = part.decode()  # printable ASCII stands for itself in byte-level letters
+            ids = self._word(plain if plain.isprintable() else plain.translate(self.letters))
+        else:
+            ids = b"".join([self[word] for word in words])
+        if len(part) <= CACHE_WORD_CHARS:
+            self[part] = ids
         return ids
 
 
-_seen: dict[str, _Words] = CACHES.setdefault("library", {})
+_seen: dict[str, _Parts] = CACHES.setdefault("library", {})
 
 
 def library_ids(text: str, path: str) -> bytes:
-    """Packed ids of a text: its words are encoded by the library, each once as long as the worker remembers it."""
-    words = _seen.get(path)
-    if words is None:
-        words = _seen[path] = _Words(path)
-    trim_cache(words, MAX_SEEN)
-    get = words.__getitem__
-    return b"".join(
-        np.array([special], "<u4").tobytes() if special is not None else b"".join(map(get, words_of(part, path, normal_words)))
-        for special, part in load(path).sections(text)
-    )
+    """Packed ids of a text as the tokenizers library gives them.
+
+    What stands between ASCII white space is encoded by itself, which gives the same ids: white space is dropped, and
+    no pattern or composition of marks reaches across it. The library's model gets each word, and its normaliser each
+    part beyond ASCII, once as long as the worker remembers it.
+    """
+    parts = _seen.get(path)
+    if parts is None:
+        parts = _seen[path] = _Parts(path)
+    out = []
+    for special, section in load(path).sections(text):
+        if special is not None:
+            out.append(special.to_bytes(4, "little"))
+        else:
+            out += map(parts.__getitem__, section.encode("utf-8", "replace").lower().split())
+    return b"".join(out)
 
 
 def _segments(path: str, end_id: int, bits: int):
@@ -135,17 +159,20 @@ def _segments(path: str, end_id: int, bits: int):
             )
 
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = library_ids(text.as_py() or "", path) + end
-                count = len(ids) // 4
-                if docs and (size + count > SEGMENT_IDS or len(docs) >= SEGMENT_DOCS):
-                    yield segment()
-                    first += size
-                    docs, lengths, parts, size = [], [], [], 0
-                docs.append(doc.as_py())
-                lengths.append(count)
-                parts.append(ids)
-                size += count
+            names = iter(batch.column(0).to_pylist())
+            for texts, _ in slices([batch.column(1)]):
+                if path in _seen:
+                    trim_cache(_seen[path], MAX_SEEN)
+                for ids in (library_ids(text, path) for text in texts):
+                    count = len(ids) // 4 + 1
+                    if docs and (size + count > SEGMENT_IDS or len(docs) >= SEGMENT_DOCS):
+                        yield segment()
+                        first += size
+                        docs, lengths, parts, size = [], [], [], 0
+                    docs.append(next(names))
+                    lengths.append(count)
+                    parts += (ids, end)
+                    size += count
         if docs:
             yield segment()
 
