@@ -306,20 +306,24 @@ def osm_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
 _EXTRACT_BOX = (34.75, 32.05, 34.765, 32.065)
 
 
-@query(
-    "S11",
-    f"""SELECT osm_id, round(lat0 - half_deg, 6) AS min_lat, round(lon0 + half_deg, 6) AS max_lon, round(CASE WHEN h BETWEEN 1 AND 300 THEN h WHEN l BETWEEN 1 AND 80 THEN l * 3.2 ELSE 10.0 END, 4) AS height_m
+_FEATURES_SQL = f"""SELECT osm_id, round(lat0 - half_deg, 6) AS min_lat, round(lon0 + half_deg, 6) AS max_lon, round(CASE WHEN h BETWEEN 1 AND 300 THEN h WHEN l BETWEEN 1 AND 80 THEN l * 3.2 ELSE 10.0 END, 4) AS height_m
         FROM (SELECT *, TRY_CAST(replace(height_tag, ' m', '') AS DOUBLE) AS h, TRY_CAST(levels_tag AS DOUBLE) AS l FROM ({M.BUILDINGS}) b) x
         WHERE osm_id % 10 <> 0 AND osm_id % 13 <> 0 AND lon0 + half_deg >= 34.75 AND lon0 - half_deg <= 34.765 AND lat0 + half_deg >= 32.05 AND lat0 - half_deg <= 32.065
         UNION ALL SELECT osm_id * 4 + k, round(lat0 + dy * half_deg, 6), round(lon0 + dx * half_deg, 6), 0.0 FROM ({M.BUILDINGS}) b CROSS JOIN (VALUES (0, -1, -1), (1, -1, 1), (2, 1, 1), (3, 1, -1)) AS v(k, dy, dx)
-        WHERE osm_id % 6 = 0 AND lat0 + dy * half_deg BETWEEN 32.05 AND 32.065 AND lon0 + dx * half_deg BETWEEN 34.75 AND 34.765""",
-)
+        WHERE osm_id % 6 = 0 AND lat0 + dy * half_deg BETWEEN 32.05 AND 32.065 AND lon0 + dx * half_deg BETWEEN 34.75 AND 34.765"""
+
+
+@query("S11", _FEATURES_SQL)
 def s11(t: Tables) -> DataFrame:
     nodes, ways = osm_tables(t)
-    built = osm.extract_buildings(ways, nodes, _EXTRACT_BOX).select(
+    return _features(osm.extract_buildings(ways, nodes, _EXTRACT_BOX), osm.extract_signals(nodes, _EXTRACT_BOX))
+
+
+def _features(buildings: DataFrame, signals: DataFrame) -> DataFrame:
+    built = buildings.select(
         "osm_id", F.round("min_lat", 6).alias("min_lat"), F.round("max_lon", 6).alias("max_lon"), F.round("height_m", 4).alias("height_m")
     )
-    signals = osm.extract_signals(nodes, _EXTRACT_BOX).select(
+    signals = signals.select(
         "osm_id", F.round("lat", 6).alias("min_lat"), F.round("lon", 6).alias("max_lon"), F.lit(0.0).alias("height_m")
     )
     return built.unionByName(signals)
@@ -337,12 +341,14 @@ def j8(t: Tables) -> DataFrame:
     )
 
 
-@query("S12")
+@query("S12", _FEATURES_SQL)
 def s12(t: Tables) -> DataFrame:
+    """The store is written with all features, and those of a box are read back from the files that touch it."""
     nodes, ways = osm_tables(t)
     path = f"{ensure_checkpoint_dir(t.spark)}/store-{uuid.uuid4().hex}"
     osm.write_store(osm.extract_buildings(ways, nodes), osm.extract_signals(nodes), path, "tables")
-    return t.spark.read.parquet(f"{path}/metadata")
+    west, south, east, north = _EXTRACT_BOX
+    return _features(*(osm.read_store(t.spark, path, table, south, west, north, east) for table in ("buildings", "signals")))
 
 
 @query(

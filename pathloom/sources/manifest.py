@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom import constants as K
+from pathloom.operators.rounds import stage_width
 
 c = F.col
+HASH_BYTES = 8 << 20
 
 FILE_TYPE = "struct<logical_name:string,path:string,sha256:string,size_bytes:bigint,media_type:string>"
 SCHEMA = (
@@ -28,10 +34,65 @@ def manifest_files(manifest: DataFrame) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, directory: str) -> DataFrame:
-    """Size and SHA-256 of every file below a directory, hashed where it is read."""
+    """Size and SHA-256 of every file below a directory.
+
+    Files are listed without their content; each is then streamed through its task in pieces of HASH_BYTES, so files of
+    any size take bounded memory. File systems that only Spark's readers open are read whole, up to 2 GB a file.
+    Spark's readers pass over empty files, so those are listed by the driver.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
     relative = F.substring_index(c("path"), directory.rstrip("/") + "/", -1)
-    return files.select(relative.alias("path"), c("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    empty = spark.createDataFrame(_empty_files(spark, directory), "path string").select(
+        relative.alias("path"), F.lit(0).cast("long").alias("size_bytes"), F.sha2(F.lit("").cast("binary"), 256).alias("sha256")
+    )
+    if not _opens(files):
+        return files.select(relative.alias("path"), c("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")).unionByName(empty)
+    listed = files.select(relative.alias("path"), c("length").alias("size_bytes"), c("path").alias("uri"))
+    dealt = listed.repartition(stage_width(spark), F.xxhash64("uri"))
+    return dealt.mapInArrow(_hashed, "path string, size_bytes long, sha256 string").unionByName(empty)
+
+
+def _empty_files(spark: SparkSession, directory: str) -> list[tuple[str]]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    listed = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(folder, True)
+    found = []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0 and not status.getPath().getName().startswith(("_", ".")):
+            found.append((status.getPath().toString(),))
+    return found
+
+
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path there."""
+    return (fs.LocalFileSystem(), uri.removeprefix("file:").replace("///", "/", 1)) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+
+
+def _opens(files: DataFrame) -> bool:
+    first = files.select("path").first()
+    if first is None:
+        return True
+    try:
+        _opened(first[0])
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def file_sha256(uri: str) -> str:
+    """SHA-256 of a file, read in pieces."""
+    files, path = _opened(uri)
+    digest = hashlib.sha256()
+    with files.open_input_stream(path) as stream:
+        while piece := stream.read(HASH_BYTES):
+            digest.update(piece)
+    return digest.hexdigest()
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = [file_sha256(uri) for uri in batch.column("uri").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("size_bytes"), pa.array(hashes, pa.string())], ["path", "size_bytes", "sha256"])
 
 
 def build_manifest(
