@@ -114,11 +114,18 @@ def _unassigned() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(code)) == "Cn" for code in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def has_unassigned(text: str) -> bool:
-    """Whether a text holds such a code point, looked up in parts of bounded size."""
+@lru_cache(maxsize=1)
+def _reordered() -> np.ndarray:
+    """Those, and the combining marks, which other tables may order otherwise."""
+    marks = np.fromiter((unicodedata.combining(chr(code)) > 0 for code in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    return marks | _unassigned()
+
+
+def has_unassigned(text: str, marks: bool = False) -> bool:
+    """Whether a text holds such a code point (or a combining mark), looked up in parts of bounded size."""
     if text.isascii():
         return False
-    unknown = _unassigned()
+    unknown = _reordered() if marks else _unassigned()
     for start in range(0, len(text), _PART_CHARS):
         codes = np.frombuffer(text[start : start + _PART_CHARS].encode("utf-32-le", "replace"), "<u4")
         if unknown[codes].any():
@@ -126,6 +133,11 @@ def has_unassigned(text: str) -> bool:
     return False
 
 
+@lru_cache(maxsize=1)
+def letter_bytes() -> dict[str, int]:
+    return {letter: byte for byte, letter in enumerate(byte_letters())}
+
+
 @lru_cache(maxsize=4)
 def library(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
@@ -137,7 +149,7 @@ FORGET += [({"encoding", "counts", "library"}, forget) for forget in (load.cache
 def words_by_library(text: str, path: str) -> list[str]:
     """Words as the tokenizer's own normaliser and splitter give them, for texts with unassigned code points."""
     tokenizer = library(path)
-    letters = {letter: byte for byte, letter in enumerate(byte_letters())}
+    letters = letter_bytes()
     normal = tokenizer.normalizer.normalize_str(text) if tokenizer.normalizer else text
     return [bytes(letters[x] for x in word).decode() for word, _ in tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
 
@@ -147,8 +159,31 @@ def words_of(text: str, path: str, split) -> list[str]:
     return words_by_library(text, path) if has_unassigned(text) else split(text)
 
 
+def lower_words(text: str, path: str, seen: dict[bytes, list[str]]) -> list[str]:
+    """Words of the lower-case vocabulary with word ends: NFC, letters lower-cased one by one; no word holds white space.
+
+    In texts with combining marks or unassigned code points, what stands between ASCII white space is split by itself:
+    no pattern and no composition of marks reaches across. Parts beyond ASCII take the tokenizer's own normaliser and
+    splitter there, once as long as `seen` has them.
+    """
+    if not has_unassigned(text, marks=True):
+        return normal_words(text)
+    words: list[str] = []
+    for part in text.encode("utf-8", "replace").split():
+        if part.isascii():
+            words += _WORDS.findall(part.decode().lower())
+            continue
+        found = seen.get(part)
+        if found is None:
+            found = words_by_library(part.decode(), path)
+            if len(part) <= CACHE_WORD_CHARS:
+                seen[part] = found
+        words += found
+    return words
+
+
 def normal_words(text: str) -> list[str]:
-    """Words of the lower-case vocabulary with word ends: NFC, letters lower-cased one by one; no word holds white space."""
+    """Words of a text without combining marks."""
     return _WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
 

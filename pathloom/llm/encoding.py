@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.bpe import CACHE_WORD_CHARS, CACHE_WORDS, Merges, load, normal_words, trim_cache, words_of
-from pathloom.llm.common import CACHES, arrow_column, in_slices
+from pathloom.llm.bpe import CACHE_WORD_CHARS, CACHE_WORDS, Merges, load, lower_words, trim_cache
+from pathloom.llm.common import CACHES, FORGET, arrow_column, in_slices
 
 #: Words remembered by a worker; their ids are kept as well, so fewer than where only a count is.
 MAX_SEEN = CACHE_WORDS * 5 // 8
@@ -85,6 +85,9 @@ def encode_words(words: list[str], merges: Merges) -> list[bytes]:
 
 
 _seen: dict[str, dict[str, bytes]] = CACHES.setdefault("encoding", {})
+#: Words of parts of texts beyond ASCII.
+_split: dict[bytes, list[str]] = {}
+FORGET.append(({"encoding"}, _split.clear))
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
@@ -92,7 +95,8 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     merges = load(path)
     seen = _seen.setdefault(path, {})
     trim_cache(seen, MAX_SEEN)
-    parts = [[(special, words_of(part, path, normal_words) if part else []) for special, part in merges.sections(text)] for text in texts]
+    trim_cache(_split, MAX_SEEN // 4)
+    parts = [[(special, lower_words(part, path, _split) if part else []) for special, part in merges.sections(text)] for text in texts]
     new = list({word for text in parts for _, words in text for word in words if word not in seen})
     fresh = dict(zip(new, encode_words(new, merges), strict=True))
     seen.update(fresh)

@@ -122,15 +122,19 @@ def test_decontamination_against_brute_force(spark, limit):
     rng = random.Random(3)
     words = ["the", "OF", "a1", "é", "b", "to"]
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 9, 10, 11, 14])))) for i in range(12)]
-    items += [(50, ""), (51, None), (None, "the of"), (52, "... !"), (1, items[1][1])]
+    items = [(f"q{i}" if i % 2 else str(i), t) for i, t in items]
+    items += [("50", ""), ("51", None), (None, "the of"), (None, "é b"), ("52", "... !"), ("q1", items[1][1])]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(60)]
     texts += [f"x {items[5][1]}, y", "", None, "...", texts[0], (items[2][1] + ". ") * 50]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x"), (None, texts[1], "x")], "doc_id long, text string, item_id string")
-    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    named = [x for x in items if x[0] is not None]
+    bench = spark.createDataFrame(items, "item_id string, text string").withColumn("doc_id", F.lit(1))
     got = sorted(key((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["contaminated"])) for r in decontaminate.report(docs, bench, max_item_bytes=limit).collect())
-    want = [(r["doc_id"], *(h := brute_hits(r["text"], named)), h[1] > 0) for r in docs.collect()]
+    want = [(r["doc_id"], *(h := brute_hits(r["text"], items)), h[1] > 0) for r in docs.collect()]
     assert got == sorted(map(key, want))
+    for row in decontaminate.report(docs, bench, max_item_bytes=limit).collect():
+        named = [i for i in row["items"] if i is not None]
+        assert named == sorted(named) and row["items"] == named + [None] * (len(row["items"]) - len(named))
+        assert row["spans"] == sorted(row["spans"]) and all(a["last"] < b["first"] for a, b in zip(row["spans"], row["spans"][1:]))
     clean = decontaminate.clean_documents(docs, bench, max_item_bytes=limit)
     assert clean.columns == docs.columns and clean.count() == sum(not w[-1] for w in want)
     assert decontaminate.report(docs, bench.limit(0), max_item_bytes=limit).filter("contaminated").count() == 0
@@ -221,3 +225,28 @@ def test_unassigned_code_points_are_found_anywhere():
     assert not any(map(bpe.has_unassigned, ["", "plain", "é漢😀\n\u2028", "\ue000"]))
     assert bpe.has_unassigned("\u0378") and bpe.has_unassigned("é" * (2 * bpe._PART_CHARS) + "\U000e0fff")
     assert not bpe.has_unassigned("é" * (2 * bpe._PART_CHARS))
+
+
+def test_combining_marks_as_the_library_has_them():
+    """All combining marks beside two common ones, in words of their own: ids of both ways to encode are the library's."""
+    import unicodedata
+
+    from pathloom.llm import encoding
+
+    library = Tokenizer.from_file(WORD)
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))] + ["\u07fd", "\u0898", "\u08ca", "\u09fe", "\u1df9", "\ua82c"]
+    texts = ["q\u0309" + m + " A" + m + "\u0323 \u00a0" + m + "x " + m + "\n" + m for m in marks]
+    texts.append(" ".join(texts[::7]) + " <|endoftext|>" + " ".join(texts[::5]))
+    want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert encoding.encode_texts(texts, WORD) == want
+    assert [token_files.library_ids(t, WORD) for t in texts] == want
+
+
+def test_ascii_controls_as_the_library_has_them():
+    from pathloom.llm import encoding
+
+    library = Tokenizer.from_file(WORD)
+    texts = [f"a{chr(c)}b {chr(c)} é{chr(c)}É\u03a3 it's{chr(c)}'s 12" for c in [*range(1, 256), 0x1680, 0x180E, 0x2028, 0x200B, 0x3000, 0xFEFF]]
+    want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert encoding.encode_texts(texts, WORD) == want
+    assert [token_files.library_ids(t, WORD) for t in texts] == want
