@@ -256,13 +256,17 @@ def _with_trusted(docs: DataFrame, trusted: DataFrame, how: str) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, lang, n_letters, perplexity, threshold, kept), one row for each row of the documents."""
+    """(doc_id, lang, n_letters, perplexity, judged, threshold, kept), one row for each row of the documents.
+
+    ``judged`` is the perplexity drawn towards the language's mean by PRIOR_LETTERS letters, so that a few letters don't
+    decide; a document is kept if it is no more than the threshold.
+    """
     trusted = kept(trusted_ids(labels), "trusted")
     texts = _with_trusted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), trusted, "left_semi")
     model = train(texts, fold=fold_of("doc_id"))
     none = F.lit(None).cast("double")
     if model is None:
-        return docs.select("doc_id", "lang", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_letters"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
+        return docs.select("doc_id", "lang", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_letters"), none.alias("perplexity"), none.alias("judged"), none.alias("threshold"), F.lit(True).alias("kept"))
     scored = kept(score(docs, model, shard_rows).withColumn("_lang", F.coalesce("lang", F.lit(""))), "kn-scores")
     modelled = {r[0] for r in model.select("fold").distinct().collect()}
     unseen = [score(texts.filter(fold_of("doc_id") == f), model, shard_rows, f if f in modelled else WHOLE) for f in range(FOLDS)]
@@ -281,7 +285,12 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_
     limit_all = rated.agg(cut).first()[0]
     out = salted_join(drawn(scored), limits, ["_lang"], F.struct("bits", "n"), "left")
     limit = F.coalesce("_limit", F.lit(limit_all))
-    return out.select(
-        "doc_id", "lang", F.col("n").alias("n_letters"), F.when(F.col("n") > 0, F.round(F.pow(F.lit(2.0), F.col("bits") / F.col("n")), 4)).alias("perplexity"),
-        F.round(F.pow(F.lit(2.0), limit), 4).alias("threshold"), ((F.col("n") == 0) | (F.col("_h") <= limit)).alias("kept"),
+
+    def perplexity(bits: Column) -> Column:
+        return F.when(F.col("n") > 0, F.round(F.pow(F.lit(2.0), bits), 4))
+
+    rows = out.select(
+        "doc_id", "lang", F.col("n").alias("n_letters"), perplexity(F.col("bits") / F.col("n")).alias("perplexity"),
+        perplexity(F.col("_h")).alias("judged"), F.round(F.pow(F.lit(2.0), limit), 4).alias("threshold"),
     )
+    return rows.withColumn("kept", (F.col("n_letters") == 0) | (F.col("judged") <= F.col("threshold")))

@@ -439,6 +439,7 @@ def test_threshold_is_a_quantile_of_unseen_documents(spark):
     drawn = sorted((b + prior * mean) / (n + prior) for b, n in scored)
     got = {r["doc_id"]: r for r in language_model.judge(docs, labels, 0.9).collect()}
     assert abs(got[0]["threshold"] - 2 ** drawn[35]) < 1e-3
+    assert all(r["kept"] == (r["judged"] <= r["threshold"]) for r in got.values())
     lone = language_model.judge(docs, labels.filter("doc_id = 7")).filter("doc_id = 7").first()
     assert lone["kept"]
 
