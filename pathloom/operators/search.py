@@ -93,15 +93,15 @@ def best_matches(queries: DataFrame, postings: DataFrame, effort: list[DataFrame
     blocks = state.keep(hits.groupBy("token", "level").agg(F.count("*").alias("n"), F.max("impact").alias("top"), F.first("n_docs").alias("n_docs")), "blocks")
     weights = blocks.groupBy("token").agg(F.sum("n").alias("df"), F.max("top").alias("top"), F.first("n_docs").alias("n_docs"))
     weighed = tokens.join(weights, "token").withColumn("idf", _weight(c("n_docs"), c("df"))).withColumn("most", c("idf") * c("top"))
-    weighed = state.keep(weighed.select("query_id", "token_no", "n_tokens", "token", "df", "idf", "most"), "tokens")
+    weighed = weighed.select("query_id", "token_no", "n_tokens", "token", "df", "idf", "most")
     lead = weighed.groupBy("query_id", "n_tokens").agg(F.count("*").alias("_k"), F.sum("most").alias("_all"), F.min(F.struct("df", "token_no", "token", "idf", "most")).alias("_l"))
     lead = lead.filter(c("_k") == c("n_tokens")).select("query_id", "n_tokens", "_l.token_no", "_l.token", "_l.idf", (c("_all") - c("_l.most")).alias("others"))
-    lead = state.keep(lead.join(depth, "query_id"), "leads")
+    lead = lead.join(depth, "query_id")
     upto = F.sum("n").over(Window.partitionBy("query_id").orderBy(c("level").desc()))
     ladder = lead.join(blocks.select("token", "level", "n", "top"), "token").withColumn("_before", upto - c("n"))
     ladder = state.keep(ladder.withColumn("early", c("_before") < 2 * c("depth")), "ladder")
 
-    def scored(chosen: DataFrame, name: str) -> DataFrame:
+    def scored(chosen: DataFrame) -> DataFrame:
         """Scores of the places in some of the leads' blocks that hold all other tokens as well."""
         led = chosen.select("query_id", "n_tokens", "token_no", "token", "level", "idf").join(hits, ["token", "level"])
         first = led.select("query_id", "n_tokens", "token_no", "place_id", (c("idf") * c("tf") * (K1 + 1) / c("norm")).alias("_s"))
@@ -109,14 +109,14 @@ def best_matches(queries: DataFrame, postings: DataFrame, effort: list[DataFrame
         further = further.filter(c("token_no") != c("_lead")).join(hits.select("token", "place_id", "tf", "norm"), ["token", "place_id"])
         rest = further.select("query_id", "n_tokens", "token_no", "place_id", (c("idf") * c("tf") * (K1 + 1) / c("norm")).alias("_s"))
         total = first.union(rest).groupBy("query_id", "n_tokens", "place_id").agg(F.count("*").alias("_n"), F.sum("_s").alias("score"))
-        return state.keep(total.select("query_id", "place_id", "score", (c("_n") == c("n_tokens")).alias("whole")), name)
+        return total.select("query_id", "place_id", "score", (c("_n") == c("n_tokens")).alias("whole"))
 
-    early = scored(ladder.filter("early"), "early")
+    early = state.keep(scored(ladder.filter("early")), "early")
     ranked = top_k(early.filter("whole"), ["query_id"], [c("score").desc()], 160, "_r").join(depth, "query_id")
     bound = ranked.filter(c("_r") == c("depth")).select("query_id", c("score").alias("_bound"))
     late = ladder.filter(~c("early")).join(bound, "query_id", "left")
     # room for rounding: equal scores are told apart by place
-    late = scored(late.filter(c("_bound").isNull() | (c("idf") * c("top") + c("others") >= c("_bound") - 1e-8)), "late")
+    late = scored(late.filter(c("_bound").isNull() | (c("idf") * c("top") + c("others") >= c("_bound") - 1e-8)))
     if effort is not None:
         effort += [early, late]
     both = early.union(late).filter("whole").withColumn("_round", F.round("score", 9)).join(depth, "query_id")
