@@ -13,7 +13,7 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 SUITES = (
-    "scalar", "filters", "polylines", "windows", "quality", "selection", "account", "providers", "spatial",
+    "scalar", "filters", "polylines", "quality", "selection", "account", "providers", "spatial",
     "paths", "transit", "search", "streams", "sinks",
 )
 
