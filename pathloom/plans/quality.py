@@ -132,7 +132,7 @@ _EDGE_MODES = f"""SELECT source, target, CASE WHEN (source + target) % 4 = 0 THE
         UNION SELECT target FROM ({_EDGE_MODES}) e WHERE list_contains(string_split(mode_list, ','), 'walk')""",
 )
 def u4(t: Tables) -> DataFrame:
-    return Q.eligible_nodes(t.sql(_EDGE_MODES).withColumn("modes", F.split("mode_list", ",")), F.lit("walk"))
+    return Q.eligible_nodes(t.sql(M.by_key(_EDGE_MODES)).withColumn("modes", F.split("mode_list", ",")), F.lit("walk"))
 
 
 _LOOSE_EDGES = """SELECT s_suppkey AS source, s_suppkey + 1 AS target FROM supplier UNION ALL SELECT s_suppkey - 3, s_suppkey + 7 FROM supplier"""
