@@ -88,9 +88,22 @@ _STATUS = f"""SELECT event_id AS observation_id, provider, vehicle_id, lat, lon,
           AND v.lon BETWEEN p.lon - 0.009::DOUBLE AND p.lon + 0.009::DOUBLE AND v.available AND NOT v.stale GROUP BY p.place_id""",
 )
 def f4(t: Tables) -> DataFrame:
-    centres = t.sql(M.PLACES).withColumnRenamed("place_id", "centre_id")
-    found = nearby_vehicles(centres, t.sql(_STATUS))
-    return found.groupBy("centre_id").agg(F.count("*").alias("vehicles"), F.sum("observation_id").alias("id_sum"))
+    return vehicles_around(t.sql(M.PLACES).withColumnRenamed("place_id", "centre_id"), t.sql(_STATUS))
+
+
+def vehicles_around(centres: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """(centre_id, vehicles, id_sum) of the vehicles in each centre's catchment; centres without any are left out.
+
+    Centres at one spot have one catchment, and observations at one spot are counted before they meet a centre, so the
+    pairs that are looked at follow the different spots.
+    """
+    usable = vehicles.filter(c("available") & ~c("stale"))
+    seen = usable.groupBy("lat", "lon").agg(F.count("*").alias("_n"), F.sum("observation_id").alias("_sum"))
+    spots = centres.select("lat", "lon").distinct().select(F.struct("lat", "lon").alias("centre_id"), "lat", "lon")
+    flagged = seen.withColumns({"available": F.lit(True), "stale": F.lit(False)})
+    found = nearby_vehicles(spots, flagged).groupBy("centre_id").agg(F.sum("_n").alias("vehicles"), F.sum("_sum").alias("id_sum"))
+    at = found.select(c("centre_id.lat").alias("lat"), c("centre_id.lon").alias("lon"), "vehicles", "id_sum")
+    return centres.join(at, ["lat", "lon"]).select("centre_id", "vehicles", "id_sum")
 
 
 _MODES = f"""SELECT source, target, CASE WHEN (source + target) % 4 = 0 THEN 'walk,bike,scooter' ELSE 'walk,bike,scooter,car,motorcycle,truck' END AS mode_list,
