@@ -128,11 +128,11 @@ def s7(t: Tables) -> DataFrame:
         F.timestamp_seconds(c("updated_s") + 500).alias("as_of"),
     )
     types = gbfs.vehicle_types(status, "feed", "types")
-    parsed = gbfs.parse_status(status, "feed", "payload", types, F.lit("2024-01-01 00:10:00").cast("timestamp"))
+    parsed = gbfs.parse_status(status, "feed", "payload", types, c("as_of"))
     urls = status.select("feed", gbfs.status_url(c("discovery")).alias("url"))
     return parsed.join(urls, "feed").select(
         "feed", c("vehicle_id").cast("long").alias("vehicle_id"), "kind", F.round("lat", 5).alias("lat"), c("battery_percent").alias("battery"),
-        ((F.lit(1704067800) - F.unix_seconds("observed_at") > 120) & (c("feed") % 2 == 0)).alias("stale"), "url",
+        "stale", "url",
     )
 
 

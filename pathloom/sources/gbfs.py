@@ -49,20 +49,21 @@ def _truthy(token: Column) -> Column:
 
 
 def parse_status(documents: DataFrame, key: str, payload: str, types: DataFrame, as_of: Column, stale_s: int = 120) -> DataFrame:
-    """Usable vehicles of status documents; reserved and disabled ones are left out."""
-    parsed = documents.select(key, F.from_json(payload, STATUS).alias("_s"))
+    """Usable vehicles of status documents; reserved and disabled ones are left out. ``as_of``, when the documents were
+    read, may be one of their columns."""
+    parsed = documents.select(key, as_of.alias("_as_of"), F.from_json(payload, STATUS).alias("_s"))
     items = F.when(F.size("_s.data.bikes") > 0, c("_s.data.bikes")).otherwise(c("_s.data.vehicles"))
-    observed = rules.epoch_or(c("_s.last_updated"), as_of)
-    rows = parsed.select(key, observed.alias("observed_at"), F.explode(items).alias("_v"))
+    observed = rules.epoch_or(c("_s.last_updated"), c("_as_of"))
+    rows = parsed.select(key, "_as_of", observed.alias("observed_at"), F.explode(items).alias("_v"))
     usable = rows.filter(~_truthy(c("_v.is_reserved")) & ~_truthy(c("_v.is_disabled")))
     flat = usable.select(
-        key, "observed_at", F.coalesce("_v.bike_id", "_v.vehicle_id").alias("vehicle_id"),
+        key, "_as_of", "observed_at", F.coalesce("_v.bike_id", "_v.vehicle_id").alias("vehicle_id"),
         F.coalesce("_v.vehicle_type_id", F.lit("")).alias("vehicle_type_id"),
         c("_v.lat").cast("double").alias("lat"), c("_v.lon").cast("double").alias("lon"),
         rules.battery_percent(c("_v.current_fuel_percent")).alias("battery_percent"), c("_v.rental_uris.android").alias("deep_link"),
     )
-    stale = F.unix_micros(as_of) - F.unix_micros("observed_at") > stale_s * 1_000_000
-    return with_kind(flat, types, [key]).withColumns({"stale": stale, "available": F.lit(True)})
+    stale = F.unix_micros("_as_of") - F.unix_micros("observed_at") > stale_s * 1_000_000
+    return with_kind(flat, types, [key]).withColumns({"stale": stale, "available": F.lit(True)}).drop("_as_of")
 
 
 def union_feeds(feeds: DataFrame, vehicles: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
