@@ -162,7 +162,7 @@ def metrics(routes: DataFrame, baseline: DataFrame) -> DataFrame:
         SELECT request_id, k2 AS position, pos, CASE WHEN best <= 0 THEN 0.0 ELSE round_even(greatest(0.0, (duration_s / best - 1) * 100) * 100, 0) / 100 END AS detour_percent FROM two WHERE k2 <= 3""",
 )
 def r8(t: Tables) -> DataFrame:
-    alternatives = t.sql(M.ALTERNATIVES).withColumn("arrival_s", c("duration_s") + (c("pos") * 7) % 5 * 60)
+    alternatives = t.sql(M.ALTERNATIVES, lineitem="l_orderkey").withColumn("arrival_s", c("duration_s") + (c("pos") * 7) % 5 * 60)
     return S.rank_itineraries(alternatives, t.sql(M.ROUTE_REQUESTS))
 
 
