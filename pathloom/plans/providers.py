@@ -171,7 +171,7 @@ def _grouped(t: Tables, leg: Column) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("leg_index", leg.alias("_leg"))))
     legs = F.transform(ordered, lambda s: s["_leg"]).alias("legs")
     keys = ["request_id", "itinerary", "arrive_by", "requested_s"]
-    return t.sql(_ITEMS).groupBy(*keys).agg(legs, F.sum("duration_s").alias("total_s"))
+    return t.sql(_ITEMS, lineitem="l_orderkey").groupBy(*keys).agg(legs, F.sum("duration_s").alias("total_s"))
 
 
 @query(
