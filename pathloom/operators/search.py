@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.geo import haversine_m
 from pathloom.functions.rules import in_categories
 from pathloom.functions.text import fold_text
-from pathloom.operators.rounds import RoundState
+from pathloom.operators.rounds import RoundState, dealt
 from pathloom.operators.selection import top_k
 
 c = F.col
@@ -18,6 +18,8 @@ WORDS = "([\\p{L}\\p{N}]+)"
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 #: Blocks of a token's postings to a unit of impact, and tasks that share the postings of one word.
 LEVELS, SPREAD = 32, 8
+#: Places whose words one task counts; a place has some ten of them.
+PLACES_PER_TASK = 50_000
 
 
 def _words(text):
@@ -27,7 +29,8 @@ def _words(text):
 def build_postings(places: DataFrame, fields: tuple[str, ...] = ("name", "name_he", "subtitle"), plain: tuple[str, ...] = ("category",)) -> DataFrame:
     """(term, place_id, tf, doc_len). ``plain`` fields are only lower-cased, the others folded."""
     folded = F.concat_ws(" ", fold_text(F.concat_ws(" ", *fields)), *[F.lower(p) for p in plain])
-    words = places.select("place_id", _words(folded).alias("_w"))
+    # dealt by place first: a place's words are counted where they are cut
+    words = dealt(places, "place_id", rows=PLACES_PER_TASK).select("place_id", _words(folded).alias("_w"))
     exploded = words.select("place_id", F.size("_w").alias("doc_len"), F.explode("_w").alias("term"))
     return exploded.groupBy("term", "place_id").agg(F.count("*").alias("tf"), F.first("doc_len").cast("long").alias("doc_len"))
 
