@@ -52,15 +52,19 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 1
 def cluster_signals(signals: DataFrame, radius_m: float = K.SIGNAL_CLUSTER_M) -> DataFrame:
     """(osm_id, cluster) of signals chained together by gaps of at most a radius.
 
-    Signals at one spot are one node. Cells are small enough that all spots of a cell are within the radius of each
-    other, so a cell is one node as well and only spots of neighbouring cells have to be compared.
+    Signals at one place are one until the clusters are known, and those at one spot are one node. Cells are small enough
+    that all spots of a cell are within the radius of each other, so a cell is one node as well and only spots of
+    neighbouring cells have to be compared.
     """
+    state = RoundState(signals.sparkSession, "clusters")
     x, y = to_grid(c("lat"), c("lon"))
-    placed = signals.select("osm_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
     size = radius_m / 1.4143
-    placed = placed.withColumn("cy", cell(c("y"), size)).withColumn("cx", cell(c("x"), size))
+    # kept, as projecting places is dear and they are looked at several times
+    places = state.keep(signals.groupBy("lat", "lon").agg(F.min("osm_id").alias("osm_id")), "places")
+    placed = places.select("lat", "lon", "osm_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+    placed = state.keep(placed.withColumn("cy", cell(c("y"), size)).withColumn("cx", cell(c("x"), size)), "placed")
     spots = placed.groupBy("cy", "cx", "x", "y").agg(F.min("osm_id").alias("osm_id"))
-    named = placed.groupBy("cy", "cx").agg(F.min("osm_id").alias("id"))
+    named = state.keep(placed.groupBy("cy", "cx").agg(F.min("osm_id").alias("id")), "cells")
     # half of the 5x5 neighbourhood: every unordered pair of cells meets once
     offsets = [(dy, dx) for dy in range(0, 3) for dx in range(-2, 3) if dy > 0 or dx > 0]
     shifts = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets])
@@ -75,5 +79,6 @@ def cluster_signals(signals: DataFrame, radius_m: float = K.SIGNAL_CLUSTER_M) ->
         named.select(c("cy").alias("ny"), c("cx").alias("nx"), c("id").alias("b")), ["ny", "nx"]
     )
     components = connected_components(named.select("id"), links)
-    members = placed.join(named, ["cy", "cx"]).join(components, "id")
+    found = state.keep(placed.join(named, ["cy", "cx"]).join(components, "id").select("lat", "lon", "x", "y", "component"), "found")
+    members = signals.select("osm_id", "lat", "lon").join(found, ["lat", "lon"])
     return members.select("osm_id", c("component").alias("cluster"), "x", "y")
