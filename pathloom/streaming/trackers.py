@@ -154,27 +154,129 @@ def _number(value: float) -> float | None:
     return None if pd.isna(value) else float(value)
 
 
+def _one_by_one(trips: list[tuple]) -> list[list[tuple]]:
+    """Results of each trip's fixes; a trip is its tracker and (lat, lon, accuracy, heading, speed) rows."""
+    return [[tracker.update((*fix[:3], _number(fix[3]), _number(fix[4]))) for fix in fixes.tolist()] for tracker, fixes in trips]
+
+
+def _match_together(trips: list[tuple]) -> list[list[tuple]]:
+    """``Matcher.update`` for the fixes of several trips, the first fixes of all trips at once, then the second ones."""
+    out: list = [None] * len(trips)
+    # routes are padded to one length, so only routes of about one length go together
+    alike: dict[int, list[int]] = {}
+    for i, (tracker, _) in enumerate(trips):
+        alike.setdefault(len(tracker.route.lats).bit_length(), []).append(i)
+    for members in alike.values():
+        for i, found in zip(members, _match_alike([trips[i] for i in members])):
+            out[i] = found
+    return out
+
+
+def _match_alike(trips: list[tuple]) -> list[list[tuple]]:
+    trackers = [t for t, _ in trips]
+    window, routes = trackers[0].fixes.maxlen, [t.route for t in trackers]
+    length = np.array([len(r.lats) for r in routes])
+    steps = np.array([len(f) for _, f in trips])
+    wide = length.max()
+
+    def padded(values: list[np.ndarray]) -> np.ndarray:
+        whole = np.zeros((len(values), wide))
+        for i, v in enumerate(values):
+            whole[i, : len(v)] = v
+        return whole
+
+    lats, lons, along, headings = (padded([getattr(r, n) for r in routes]) for n in ("lats", "lons", "along", "headings"))
+    # a trip's fixes behind those it still holds
+    held = window - 1
+    fixes = np.full((len(trips), held + steps.max(), 5), np.nan)
+    since = np.empty(len(trips), int)
+    for i, (tracker, new) in enumerate(trips):
+        old = list(tracker.fixes)[-held:] if held else []
+        since[i] = held - len(old)
+        if old:
+            fixes[i, since[i] : held] = np.array(old, float)
+        fixes[i, held : held + len(new)] = new
+    last, streak = np.array([t.last_index for t in trackers]), np.array([t.streak for t in trackers])
+    out: list[list[tuple]] = [[] for _ in trips]
+    place = np.arange(wide)
+    for step in range(steps.max()):
+        live = np.flatnonzero(steps > step)
+        rows, now = live[:, None], fixes[live, held + step]
+        off = (place < np.maximum(0, last[live] - 2)[:, None]) | (place >= length[live][:, None])
+        away = _metres(now[:, :1], now[:, 1:2], lats[live], lons[live])
+        away[np.isnan(away)] = 1e300
+        away[off] = np.inf
+        at = np.argsort(away, axis=1, kind="stable")[:, :8]
+        none = np.take_along_axis(off, at, axis=1)
+        near_lats, near_lons, near_along, near_headings = lats[rows, at], lons[rows, at], along[rows, at], headings[rows, at]
+        ahead = at < length[live][:, None] - 1
+        gaps = np.abs(near_along[:, :, None] - near_along[:, None, :])
+        backwards = at[:, None, :] < at[:, :, None] - 1
+        scores, count = np.zeros(at.shape), np.zeros(len(live), int)
+        for position in range(step, held + step + 1):
+            seen = fixes[live, position]
+            metres = _metres(seen[:, :1], seen[:, 1:2], near_lats, near_lons)
+            sigma = np.where(seen[:, 2] > 5.0, seen[:, 2], 5.0)[:, None]
+            emission = -(metres**2) / (2 * sigma * sigma)
+            turn = np.abs((seen[:, 3:4] - near_headings + 180) % 360 - 180)
+            emission = np.where(ahead & ~np.isnan(seen[:, 3:4]), emission - turn / 90, emission)
+            expected = np.where(seen[:, 4] > 0, seen[:, 4], 0.0)[:, None, None]
+            moves = np.where(backwards, -12.0, -np.abs(gaps - expected) / 80)
+            moved = (scores[:, :, None] + moves).max(axis=1) + emission
+            there = position >= since[live]
+            fresh = np.where((count > 0)[:, None], moved, emission)
+            fresh[none] = -np.inf
+            scores = np.where(there[:, None], fresh, scores)
+            count += there
+        best = np.argmax(scores, axis=1)[:, None]
+        index, distance, score = (np.take_along_axis(v, best, axis=1)[:, 0] for v in (at, metres, scores))
+        limit = now[:, 2] * 1.8
+        beyond = distance > np.where(limit > 30.0, limit, 30.0)
+        streak[live] = np.where(beyond, streak[live] + 1, 0)
+        last[live] = np.where(beyond, last[live], np.maximum(last[live], index))
+        confidence = np.clip(np.exp(score / count), 0.0, 1.0)
+        for i, *found in zip(live.tolist(), index.tolist(), distance.tolist(), confidence.tolist(), (streak[live] >= 3).tolist()):
+            out[i].append(tuple(found))
+    for i, (tracker, new) in enumerate(trips):
+        tracker.last_index, tracker.streak = int(last[i]), int(streak[i])
+        tracker.fixes.extend((*fix[:3], _number(fix[3]), _number(fix[4])) for fix in new[-window:].tolist())
+    return out
+
+
+#: How the fixes of several trips are followed; every trip's own fixes stay in order.
+TOGETHER: dict[str, Callable] = {"matcher": _match_together, "progress": _one_by_one}
+
+
 def _follow(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     names = [f.split()[0] for f in TRACKERS[kind].FIELDS.split(",")]
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trip, vertices, tracker = None, [], None
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if row.trip_id != trip:
-                    trip, vertices, tracker = row.trip_id, [], None
-                if row.is_fix == 0:
-                    vertices.append((row.lat, row.lon))
+            if batch.empty:
+                continue
+            ids, is_fix = batch["trip_id"].to_numpy(), batch["is_fix"].to_numpy() != 0
+            numbers = batch[["lat", "lon", "accuracy_m", "heading", "speed"]].to_numpy(float, na_value=np.nan)
+            starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            trips, kept = [], []
+            for start, end in zip(starts, np.append(starts[1:], len(ids))):
+                if ids[start] != trip:
+                    trip, vertices, tracker = ids[start], [], None
+                first = start + np.count_nonzero(~is_fix[start:end])
+                vertices.extend(numbers[start:first, :2])
+                if first == end or (tracker is None and len(vertices) < 2):
                     continue
                 if tracker is None:
-                    if len(vertices) < 2:
-                        continue
                     tracker = TRACKERS[kind](Route(*np.array(vertices).T))
-                fix = (row.lat, row.lon, row.accuracy_m, _number(row.heading), _number(row.speed))
-                out.append((trip, row.fix_id, *tracker.update(fix)))
-            if out:
-                yield pd.DataFrame(out, columns=["trip_id", "fix_id", *names])
+                trips.append((tracker, numbers[first:end]))
+                kept.append(np.arange(first, end))
+            if trips:
+                found = [one for results in TOGETHER[kind](trips) for one in results]
+                out = pd.DataFrame(found, columns=names)
+                of = batch.iloc[np.concatenate(kept)]
+                out.insert(0, "trip_id", of["trip_id"].to_numpy())
+                out.insert(1, "fix_id", of["fix_id"].to_numpy())
+                yield out
 
     return stream
 
